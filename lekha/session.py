@@ -56,9 +56,19 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", broadcast_rows: int = 0) -> DataFrame:
+    """Join on equal ``keys``, where null equals null. With ``broadcast_rows`` the
+    right side is broadcast if it has at most so many rows."""
+    right = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    if broadcast_rows:
+        right = broadcast_if_small(right, broadcast_rows)
+    on = [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys]
+    return left.join(right, on, how).drop(*[f"__right_{k}" for k in keys])
+
+
 def tokenizer_dir() -> str:
     """Folder of the public tokenizers' vocabulary files."""
     return os.environ.get("LEKHA_TOKENIZERS", "/opt/tokenizers")
 
 
-__all__ = ["BROADCAST_ROWS", "COLLECT_ROWS", "StorageLevel", "broadcast_if_small", "checkpoint_dir", "cut", "get_spark", "small", "tokenizer_dir"]
+__all__ = ["BROADCAST_ROWS", "COLLECT_ROWS", "StorageLevel", "broadcast_if_small", "checkpoint_dir", "cut", "get_spark", "join_same", "small", "tokenizer_dir"]
