@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lekha.llm import bpe, mixing, packing
+from lekha.llm import bpe, lines, mixing, packing
 from lekha.session import cut
 from lekha.sources import table
 
@@ -21,6 +21,20 @@ def _sized(spark: SparkSession, d: str) -> DataFrame:
     return cut(bpe.count(docs, keep=("doc_id", "source", "h1", "h2")))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return lines.repeated(table(spark, d, "documents", "doc_id", "source", "text"))
+
+
+def p4_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents", "doc_id", "source", "dst_path", "text")
+    return lines.removed(docs, lines.repeated(docs)).select("dst_path", "source", "text", "n_removed")
+
+
+def p4_removed(spark: SparkSession, d: str) -> DataFrame:
+    at = lines.occurrences(lines.lines_of(table(spark, d, "documents", "doc_id", "source", "text")))
+    return at.groupBy("source").agg(F.count(F.lit(1)).alias("lines_removed"), F.countDistinct("line_id").alias("different_lines"), F.countDistinct("doc_id").alias("docs"))
+
+
 def p5_selection(spark: SparkSession, d: str) -> DataFrame:
     return mixing.select(_sized(spark, d), table(spark, d, "source_mix"))
 
@@ -53,8 +67,23 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p5_selection, p5_shares, p7_ids, p7_decoded, p8_packed, p8_fill)}
+    return {f.__name__: f for f in (p4_found, p4_cleaned, p4_removed, p5_selection, p5_shares, p7_ids, p7_decoded, p8_packed, p8_fill)}
+
+
+#: Lines as the operators compare them: ASCII punctuation, digits and white space
+#: but the line feed become one space.
+_LINES = r"""
+WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
+n AS (SELECT doc_id, source, line_no, trim(regexp_replace(lower(line), '[!-@\[-`{-~\t\x0B\x0C\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS line FROM l),
+k AS (SELECT source, line, count(DISTINCT doc_id) AS docs FROM n WHERE line <> '' GROUP BY source, line),
+c AS (SELECT k.source, k.line FROM k JOIN (SELECT source, count(*) AS total FROM documents GROUP BY source) r ON k.source = r.source WHERE docs >= 5 AND docs * 20 >= total),
+f AS (SELECT n.doc_id, n.source, n.line_no, n.line FROM n JOIN c ON n.source = c.source AND n.line = c.line)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
+    return {
+        "p4_found": _LINES + "SELECT DISTINCT doc_id, CAST(line_no AS INT) AS line_no FROM f",
+        "p4_removed": _LINES + "SELECT source, count(*) AS lines_removed, count(DISTINCT line) AS different_lines, count(DISTINCT doc_id) AS docs FROM f GROUP BY source",
+        "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    }
