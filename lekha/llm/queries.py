@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lekha.llm import bpe, lines, mixing, packing
+from lekha.llm import bpe, lines, mixing, packing, quality
 from lekha.session import cut
 from lekha.sources import table
 
@@ -66,8 +66,19 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(p8_packed(spark, d))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents", "doc_id", "source", "text")
+    return quality.not_prose(docs, table(spark, d, "common_words", "word")).select("doc_id", "kind")
+
+
+def p9_stats(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents", "doc_id", "source", "text")
+    recurring = lines.recurring_ids(lines.lines_of(docs))
+    return quality.stats(docs, table(spark, d, "common_words", "word"), recurring)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p4_found, p4_cleaned, p4_removed, p5_selection, p5_shares, p7_ids, p7_decoded, p8_packed, p8_fill)}
+    return {f.__name__: f for f in (p4_found, p4_cleaned, p4_removed, p5_selection, p5_shares, p7_ids, p7_decoded, p8_packed, p8_fill, p9_found, p9_stats)}
 
 
 #: Lines as the operators compare them: ASCII punctuation, digits and white space
