@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lekha.llm import bpe, lines, mixing, packing, quality
+from lekha.llm import bpe, lines, mixing, packing, passages, quality
 from lekha.session import cut
 from lekha.sources import table
 
@@ -44,6 +44,14 @@ def p5_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(docs, mix, mixing.select(docs, mix))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return passages.leaked(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_set", "question_id", "gold_payload"))
+
+
+def p6_items(spark: SparkSession, d: str) -> DataFrame:
+    return p6_found(spark, d).groupBy("question_id").agg(F.countDistinct("doc_id").alias("n_docs"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents", "doc_id", "text"))
 
@@ -78,7 +86,7 @@ def p9_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p4_found, p4_cleaned, p4_removed, p5_selection, p5_shares, p7_ids, p7_decoded, p8_packed, p8_fill, p9_found, p9_stats)}
+    return {f.__name__: f for f in (p4_found, p4_cleaned, p4_removed, p5_selection, p5_shares, p6_found, p6_items, p7_ids, p7_decoded, p8_packed, p8_fill, p9_found, p9_stats)}
 
 
 #: Lines as the operators compare them: ASCII punctuation, digits and white space
