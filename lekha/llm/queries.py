@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lekha.llm import bpe, lines, mixing, packing, passages, quality
+from lekha.llm import bpe, lines, mixing, overlap, packing, passages, quality
 from lekha.session import cut
 from lekha.sources import table
 
@@ -21,6 +21,22 @@ def _sized(spark: SparkSession, d: str) -> DataFrame:
     return cut(bpe.count(docs, keep=("doc_id", "source", "h1", "h2")))
 
 
+def _splits(spark: SparkSession, d: str) -> DataFrame:
+    locked = table(spark, d, "eval_set").select(F.lit("locked").alias("split"), "question_id", F.col("gold_payload").alias("payload"), "source_db", "source_table")
+    holdout = table(spark, d, "holdout").select(F.lit("holdout").alias("split"), "question_id", F.to_json(F.struct("question")).alias("payload"))
+    return locked.unionByName(holdout, allowMissingColumns=True)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlaps(_splits(spark, d), table(spark, d, "ft_corpus", "pair_id", "input"))
+
+
+def p2_counts(spark: SparkSession, d: str) -> DataFrame:
+    train = table(spark, d, "ft_corpus", "pair_id", "source_db", "source_table").distinct()
+    found = cut(p2_found(spark, d))
+    return found.join(train, "pair_id").groupBy("split", "source_db", "source_table").agg(F.countDistinct("question_id").alias("n_questions"), F.countDistinct("pair_id").alias("n_records"), F.count(F.lit(1)).alias("n_overlaps"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return lines.repeated(table(spark, d, "documents", "doc_id", "source", "text"))
 
@@ -86,7 +102,7 @@ def p9_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p4_found, p4_cleaned, p4_removed, p5_selection, p5_shares, p6_found, p6_items, p7_ids, p7_decoded, p8_packed, p8_fill, p9_found, p9_stats)}
+    return {f.__name__: f for f in (p2_found, p2_counts, p4_found, p4_cleaned, p4_removed, p5_selection, p5_shares, p6_found, p6_items, p7_ids, p7_decoded, p8_packed, p8_fill, p9_found, p9_stats)}
 
 
 #: Lines as the operators compare them: ASCII punctuation, digits and white space
