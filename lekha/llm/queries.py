@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lekha.llm import bpe, lines, mixing, overlap, packing, passages, quality
+from lekha.llm import bpe, defects, lines, mixing, overlap, packing, passages, quality
 from lekha.session import cut
 from lekha.sources import table
 
@@ -37,6 +37,19 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
     return found.join(train, "pair_id").groupBy("split", "source_db", "source_table").agg(F.countDistinct("question_id").alias("n_questions"), F.countDistinct("pair_id").alias("n_records"), F.count(F.lit(1)).alias("n_overlaps"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    corpus = table(spark, d, "ft_corpus", "pair_id", "task", "language", "input", "output")
+    predictions = table(spark, d, "predictions", *defects.PREDICTION_KEY, "language", "input_text", "raw_output", "created_at")
+    ends = defects.fit_ends(corpus.select(F.col("output").alias("answer")).unionByName(predictions.select(F.col("raw_output").alias("answer"))))
+    a = defects.corpus_defects(corpus, ends).select(F.lit("ft_corpus").alias("tbl"), F.col("pair_id").alias("rec_key"), "defect")
+    key = F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("")) for c in defects.PREDICTION_KEY])
+    return a.unionByName(defects.prediction_defects(predictions, ends).select(F.lit("predictions").alias("tbl"), key.alias("rec_key"), "defect"))
+
+
+def p3_counts(spark: SparkSession, d: str) -> DataFrame:
+    return p3_found(spark, d).groupBy("tbl", "defect").agg(F.count(F.lit(1)).alias("n"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return lines.repeated(table(spark, d, "documents", "doc_id", "source", "text"))
 
@@ -102,7 +115,7 @@ def p9_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_counts, p4_found, p4_cleaned, p4_removed, p5_selection, p5_shares, p6_found, p6_items, p7_ids, p7_decoded, p8_packed, p8_fill, p9_found, p9_stats)}
+    return {f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_counts, p4_found, p4_cleaned, p4_removed, p5_selection, p5_shares, p6_found, p6_items, p7_ids, p7_decoded, p8_packed, p8_fill, p9_found, p9_stats)}
 
 
 #: Lines as the operators compare them: ASCII punctuation, digits and white space
