@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +18,21 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
         _SQL[name] = sql
 
 
+def _load() -> None:
+    """Import the modules that register their queries."""
+    for name in ("text", "corpus", "records", "scores", "statistics", "extract"):
+        try:
+            importlib.import_module(f"lekha.plans.{name}")
+        except ModuleNotFoundError as e:
+            if e.name != f"lekha.plans.{name}":
+                raise
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
