@@ -64,7 +64,10 @@ def pack_stream(docs: DataFrame, order: list[str], ids: str, length: int, eos: i
 
 
 def islands(rows: DataFrame, group: str, order: str, flag: str) -> DataFrame:
-    """Runs of rows in a group for which ``flag`` holds: group, first, last, n."""
-    w = W.partitionBy(group).orderBy(order)
-    x = rows.withColumn("__gap", F.sum(F.when(F.col(flag), 0).otherwise(1)).over(w)).filter(F.col(flag))
+    """Runs of rows in a group for which ``flag`` holds: group, first, last, n. The
+    run's number is a running count of the other rows over the whole table, so one
+    large group is spread over all tasks. ``order`` must tell a group's rows apart;
+    a null flag doesn't hold."""
+    x = rows.withColumn("__off", F.when(F.col(flag), 0).otherwise(1))
+    x = running_sum(x, [group, order], "__off", "__gap").filter("__off = 0")
     return x.groupBy(group, "__gap").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n")).drop("__gap")
