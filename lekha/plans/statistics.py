@@ -76,8 +76,8 @@ def _confident(s, d):
 
 _CF = "SELECT *, CAST('0x' || substr(sha256(question_id), 1, 6) AS BIGINT) / CAST(16777215.0 AS DOUBLE) AS conf FROM sc WHERE tsk = 'A' AND is_correct IS NOT NULL"
 register("st01_calibration", lambda s, d: evaluation.calibration_error(_confident(s, d), ["condition"], "conf", "is_correct").select("condition", *_r("ece"), "n"), _WITH + f", cf AS ({_CF}), b AS (SELECT condition, len(list_filter(range(1, 15), lambda i: conf > i / CAST(15 AS DOUBLE))) AS bin, count(*) AS n, avg(conf) AS c, avg(is_correct) AS a FROM cf GROUP BY ALL) SELECT condition, round(sum(n * abs(a - c)) / sum(n), 6) AS ece, CAST(sum(n) AS BIGINT) AS n FROM b GROUP BY condition")
-register("st02_brier_skill", lambda s, d: evaluation.brier_skill(_confident(s, d), ["condition"], "brier", "is_correct").select("condition", *_r("skill")), _WITH + f", cf AS ({_CF}) SELECT condition, round(1 - avg((conf - is_correct) * (conf - is_correct)) / (avg(is_correct * is_correct) - avg(is_correct) * avg(is_correct)), 6) AS skill FROM cf GROUP BY condition")
-register("st03_position_bias", lambda s, d: evaluation.position_bias(_scored(s, d).filter("tsk = 'A'"), ["condition"], "letter").select("condition", "n", *_r("chi2")), _WITH + "SELECT condition, count(*) AS n, round(sum(1) * 0 + (SELECT 0) + (power(count(*) FILTER (letter = 'A') - count(*) / 4, 2) + power(count(*) FILTER (letter = 'B') - count(*) / 4, 2) + power(count(*) FILTER (letter = 'C') - count(*) / 4, 2) + power(count(*) FILTER (letter = 'D') - count(*) / 4, 2)) / (count(*) / 4), 6) AS chi2 FROM sc WHERE tsk = 'A' AND letter IN ('A', 'B', 'C', 'D') GROUP BY condition")
+register("st02_brier_skill", lambda s, d: evaluation.brier_skill(_confident(s, d), ["condition"], "brier", "is_correct").select("condition", *_r("skill")), _WITH + f", cf AS ({_CF}) SELECT condition, round(CASE WHEN avg(is_correct * is_correct) - avg(is_correct) * avg(is_correct) > 1e-12 THEN 1 - avg((conf - is_correct) * (conf - is_correct)) / (avg(is_correct * is_correct) - avg(is_correct) * avg(is_correct)) END, 6) AS skill FROM cf GROUP BY condition")
+register("st03_position_bias", lambda s, d: evaluation.position_bias(_scored(s, d).filter("tsk = 'A'"), ["condition"], "letter").select("condition", "n", *_r("chi2")), _WITH + "SELECT condition, count(*) AS n, round(CASE WHEN count(*) >= 8 THEN (power(count(*) FILTER (letter = 'A') - count(*) / 4, 2) + power(count(*) FILTER (letter = 'B') - count(*) / 4, 2) + power(count(*) FILTER (letter = 'C') - count(*) / 4, 2) + power(count(*) FILTER (letter = 'D') - count(*) / 4, 2)) / (count(*) / 4) END, 6) AS chi2 FROM sc WHERE tsk = 'A' AND letter IN ('A', 'B', 'C', 'D') GROUP BY condition")
 _PAIRS = "v AS (SELECT task, metric, question_id, condition, avg(value) AS value FROM lg GROUP BY ALL), pr AS (SELECT x.task, x.metric, x.question_id, x.condition AS condition_a, y.condition AS condition_b, x.value AS a, y.value AS b, CASE WHEN x.metric IN ('" + "', '".join(evaluation.LOWER_IS_BETTER) + "') THEN y.value - x.value ELSE x.value - y.value END AS diff FROM v x JOIN v y ON x.task = y.task AND x.metric = y.metric AND x.question_id = y.question_id AND x.condition < y.condition)"
 register("jn13_condition_pairs", lambda s, d: evaluation.pairs(_long(s, d), ["task"]).select("task", "metric", "question_id", "condition_a", "condition_b", *_r("diff")), _WITH + f", {_PAIRS} SELECT task, metric, question_id, condition_a, condition_b, round(diff, 6) AS diff FROM pr")
 _G = "task, metric, condition_a, condition_b"
