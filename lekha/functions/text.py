@@ -19,7 +19,7 @@ from pyspark.sql.types import StringType
 SPACE = r"[\t\n\x0B\x0C\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 #: Punctuation that is made plain.
-PLAIN = (("‘", "'"), ("’", "'"), ("“", '"'), ("”", '"'), ("–", "-"), ("—", "-"), ("…", "..."), (" ", " "), ("​", ""), ("﻿", ""))
+PLAIN = (("‘", "'"), ("’", "'"), ("“", '"'), ("”", '"'), ("–", "-"), ("—", "-"), ("…", "..."), ("\u00a0", " "), ("\u200b", ""), ("\ufeff", ""))
 
 #: Words that lost an i, and endings that did.
 LOST_I = (("Artcles", "Articles"), ("artcles", "articles"), ("fnal", "final"), ("Fnal", "Final"), ("Defniton", "Definition"), ("defniton", "definition"), ("afrmaton", "affirmation"), ("Afrmaton", "Affirmation"))
