@@ -20,7 +20,7 @@ from lekha.session import BROADCAST_ROWS, cut, join_same
 
 #: ASCII punctuation and digits, and white space but the line feed, as Java classes.
 _PUNCT = r"!-@\[-`{-~"
-_SPACE = r"\t\x0B\x0C\r\x1C-\x1F \x85   -     　"
+_SPACE = r"\t\x0B\x0C\r\x1C-\x1F \u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
 #: A case is a line in at least so many documents and so large a share of the rows.
 LEAST_DOCS, LEAST_SHARE = 5, 0.05
@@ -172,9 +172,8 @@ def occurrences(lines: DataFrame, least_docs: int = LEAST_DOCS, least_share: flo
     in at least ``least_docs`` documents and ``least_share`` of the source's rows.
     """
     found = shard_blocks(lines, least_docs, least_share, shard_rows)
-    # A line of a block is itself a block of length one.
-    some = found.filter(F.size("block") == 1).select("source", F.col("block")[0].alias("line_id")).distinct()
-    some = cut(some)
+    # A line that is always followed by the same line stands only in longer blocks.
+    some = cut(found.select("source", F.explode("block").alias("line_id")).distinct())
     at = lines.select("source", "doc_id", F.posexplode("ids").alias("line_no", "line_id")).filter("line_id <> 0")
     both = ["source", "line_id"]
     at = join_same(at, some, both, "left_semi", BROADCAST_ROWS)

@@ -31,7 +31,7 @@ MOST = 0.03
 ODD = "�ﬁﬂﬀﬃﬄﬅﬆ"
 
 _TOKEN = re.compile(rf"[^\W_]*(?:[{ODD}][^\W_]*)+|[^\W_]+")
-_MARK = re.compile(rf"([^\W_{ODD}]|[{ODD}])([-¬­‐‑])\s*$")
+_MARK = re.compile(rf"([^\W_{ODD}]|[{ODD}])([-\u00ac\u00ad\u2010\u2011])\s*$")
 _BREAK = re.compile(r"[\s\x0c]*(?:[-=_*~#—–•·.]\s*){3,}$")
 _CAPTION = re.compile(r"\W*(?:table|fig(?:ure)?|box|map|chart|plate|annex(?:ure)?|exhibit)\b\.?\s*[\dIVXLC]", re.IGNORECASE)
 _D = r"[0-9OolI|SsBZzGgqbi�]"
@@ -109,7 +109,7 @@ class Page:
         self.rows = text.split("\n")
         self.kinds = ["text"] * len(self.rows)
         for i, r in enumerate(self.rows):
-            s = r.strip(" \t\r\x0c ​﻿")
+            s = r.strip(" \t\r\x0c\u00a0\u200b\ufeff")
             if not s:
                 self.kinds[i] = "blank"
             elif _BREAK.match(s) and not any(c.isalnum() for c in s):
@@ -119,7 +119,7 @@ class Page:
     def _numbers(self, n_pages: int | None) -> None:
         found: dict[str, list[tuple[int, int | None]]] = defaultdict(list)
         for i, r in enumerate(self.rows):
-            s = r.strip(" \t\r\x0c ​﻿")
+            s = r.strip(" \t\r\x0c\u00a0\u200b\ufeff")
             if self.kinds[i] != "text" or len(s) > 24:
                 continue
             for style, rx in _STYLES.items():
@@ -169,7 +169,7 @@ class Page:
         out = []
         for i, r in enumerate(self.rows):
             s = letters(r)
-            if self.kinds[i] == "text" and 2 < len(s) <= 90 and len(s.split()) <= 12 and s[-1] not in ".;,:!?।-¬­‐" and not s[0].islower() and sum(c.isalpha() or c == "�" for c in s) > 0.6 * len(s.replace(" ", "")) and not _CAPTION.match(s):
+            if self.kinds[i] == "text" and 2 < len(s) <= 90 and len(s.split()) <= 12 and s[-1] not in ".;,:!?।-\u00ac\u00ad\u2010" and not s[0].islower() and sum(c.isalpha() or c == "�" for c in s) > 0.6 * len(s.replace(" ", "")) and not _CAPTION.match(s):
                 out.append(i)
         return out
 
@@ -505,7 +505,7 @@ class Scans:
         def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in batches:
                 rows = x.to_pylist()
-                f = np.array([join_features(r["l"], r["r"], r["n_l"], r["n_r"], r["n_joined"], r["n_pair"], r["mark"] in "¬­", r["low"]) for r in rows], float)
+                f = np.array([join_features(r["l"], r["r"], r["n_l"], r["n_r"], r["n_joined"], r["n_pair"], r["mark"] in "\u00ac\u00ad", r["low"]) for r in rows], float)
                 p = model.value.probability(f) if len(rows) else np.zeros(0)
                 yield pa.RecordBatch.from_arrays([*x.columns[:5], pa.array(p >= 0.5)], names=["file_id", "line_no", "next_line", "l", "r", "one"])
 
