@@ -25,6 +25,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.scan_marks(table(spark, d, "file_results", "file_id", "md_text", "n_pages"))
 
 
+def p1_text(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired(table(spark, d, "file_results", "file_id", "md_text", "n_pages"))
+
+
 def _splits(spark: SparkSession, d: str) -> DataFrame:
     locked = table(spark, d, "eval_set").select(F.lit("locked").alias("split"), "question_id", F.col("gold_payload").alias("payload"), "source_db", "source_table")
     holdout = table(spark, d, "holdout").select(F.lit("holdout").alias("split"), "question_id", F.to_json(F.struct("question")).alias("payload"))
@@ -119,7 +123,7 @@ def p9_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_counts, p3_found, p3_counts, p4_found, p4_cleaned, p4_removed, p5_selection, p5_shares, p6_found, p6_items, p7_ids, p7_decoded, p8_packed, p8_fill, p9_found, p9_stats)}
+    return {f.__name__: f for f in (p1_found, p1_text, p2_found, p2_counts, p3_found, p3_counts, p4_found, p4_cleaned, p4_removed, p5_selection, p5_shares, p6_found, p6_items, p7_ids, p7_decoded, p8_packed, p8_fill, p9_found, p9_stats)}
 
 
 #: Lines as the operators compare them: ASCII punctuation, digits and white space

@@ -530,6 +530,99 @@ class Scans:
         return lines.unionByName(hyphen).unionByName(wrong.withColumn("kind", F.lit("misread"))).distinct().withColumnRenamed("file_id", self.key)
 
 
+    def fixes(self) -> DataFrame:
+        """file_id, line_no, word and right of every word to be replaced, and the same
+        of joined words (next_line set, word the left part, right the whole)."""
+        none = F.lit(None).cast("int")
+        single = self.misread().filter("right IS NOT NULL").select("file_id", "line_no", none.alias("next_line"), "word", F.lit("").alias("rest"), "right")
+        one = self.joins().filter("one").withColumn("whole", F.concat("l", "r")).join(broadcast_if_small(self.corrections.withColumnRenamed("word", "whole")), "whole", "left")
+        return single.unionByName(one.select("file_id", "line_no", "next_line", F.col("l").alias("word"), F.col("r").alias("rest"), F.coalesce("right", "whole").alias("right")))
+
+
+def rebuilt(text: str, kinds: dict[int, str], fixes: list[dict]) -> list[str]:
+    """Paragraphs of a file: text lines joined, what belongs to the page left out,
+    broken words put together and misread ones replaced in their case.
+
+    A blank line ends a paragraph, unless it stands at a page's edge in the middle of
+    a sentence. Captions and headings are paragraphs of their own.
+    """
+    rows = text.split("\n")
+    replace: dict[int, dict[str, str]] = defaultdict(dict)
+    joins: dict[int, dict] = {}
+    for f in fixes:
+        if f["next_line"] is None:
+            replace[f["line_no"]][f["word"]] = f["right"]
+        else:
+            joins[f["line_no"]] = f
+    page = Page(text, None)
+    full = sorted(len(r.strip()) for i, r in enumerate(rows) if page.kinds[i] == "text" and kinds.get(i) is None)
+    usual = full[len(full) // 2] if full else 0
+    # Headings, captions and numbers: short lines that end no sentence.
+    aside = {i for i, r in enumerate(rows) if kinds.get(i) is None and len(r.strip()) < 0.6 * usual and (_CAPTION.match(r) or not any(c.isalpha() for c in r))}
+    aside |= {i for i in page.candidates() if kinds.get(i) is None and len(rows[i].strip()) < 0.6 * usual}
+
+    def cased(old: str, new: str) -> str:
+        return new.upper() if len(old) > 1 and old.isupper() else new[:1].upper() + new[1:] if old[:1].isupper() else new
+
+    def line(i: int, skip: int) -> str:
+        out = _TOKEN.sub(lambda m: cased(m[0], replace[i][m[0].lower()]) if m[0].lower() in replace[i] else m[0], rows[i].strip(" \t\r\x0c"))
+        return out[skip:].lstrip(" ") if skip else out
+
+    paragraphs: list[str] = []
+    current, edge, skips = "", False, {}
+    for i, r in enumerate(rows):
+        kind = kinds.get(i) or page.kinds[i]
+        if kind in ("running", "page_no", "mark") or "\x0c" in r and not r.strip(" \t\r\x0c"):
+            edge = True
+            continue
+        if not r.strip():
+            if current and not edge and current[-1:] in ".!?:;।\"'”’)":
+                paragraphs.append(current)
+                current = ""
+            continue
+        t = line(i, skips.get(i, 0))
+        if i in aside and not (current and current[-1:].isalpha() and t[:1].islower()) and not any(j["next_line"] == i for j in joins.values()):
+            # In the middle of a sentence it stands before the paragraph that it interrupts.
+            if current and current[-1:] in ".!?:;।":
+                paragraphs.append(current)
+                current = ""
+            paragraphs.append(t)
+            continue
+        if i in joins:
+            j = joins[i]
+            m = re.search(rf"({re.escape(j['word'])})\W*$", t, re.IGNORECASE)
+            if m:
+                t = t[: m.start()] + cased(m[1], j["right"])
+                skips[j["next_line"]] = len(j["rest"])
+        glue = "" if current.endswith("-") and len(current) > 1 and current[-2].isalpha() or t[:1] in ".,;:!?)" else " "
+        current = f"{current}{glue}{t}" if current else t
+        edge = False
+    if current:
+        paragraphs.append(current)
+    return [" ".join(p.split()) for p in paragraphs if p.strip()]
+
+
+def repaired(files: DataFrame, key: str = "file_id", text: str = "md_text", pages: str = "n_pages") -> DataFrame:
+    """``key``, para_no and paragraph: the continuous text of every file.
+
+    A file's marks come together with it by its key; all of them belong to one file,
+    so a group is as large as a file. Null texts give no paragraphs; of several texts
+    of one key the first by content is repaired.
+    """
+    scans = Scans(files, key, text, pages)
+    lines = scans.pages.groupBy("file_id").agg(F.flatten(F.collect_list("lines")).alias("lines"))
+    fixes = scans.fixes().groupBy("file_id").agg(F.collect_list(F.struct("line_no", "next_line", "word", "rest", "right")).alias("fixes"))
+    src = files.select(F.col(key).alias("file_id"), F.col(text).cast("string").alias("text")).filter("file_id IS NOT NULL AND text IS NOT NULL").groupBy("file_id").agg(F.min("text").alias("text"))
+    whole = src.join(lines, "file_id").join(fixes, "file_id", "left").select("file_id", "text", "lines", "fixes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(k, n, p) for k, t, ls, fs in zip(*(c.to_pylist() for c in b.columns), strict=True) for n, p in enumerate(rebuilt(t, {x["line_no"]: x["kind"] for x in ls or []}, fs or []))]
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], b.column(0).type), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.string())], names=["file_id", "para_no", "paragraph"])
+
+    return whole.mapInArrow(run, f"file_id {scans.kind}, para_no int, paragraph string").withColumnRenamed("file_id", key)
+
+
 def scan_marks(files: DataFrame, key: str = "file_id", text: str = "md_text", pages: str = "n_pages") -> DataFrame:
     """``key``, line_no (from 0) and kind (hyphen, misread, running, page_no) of the
     marks of scanning in every file.
