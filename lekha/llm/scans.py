@@ -28,6 +28,8 @@ from lekha.session import broadcast_if_small, cut
 MISREAD = (("e", "c"), ("i", "l"), ("t", "f"), ("l", "1"), ("s", "5"), ("n", "ri"), ("o", "0"), ("d", "cl"), ("u", "ii"), ("m", "rn"), ("g", "9"), ("h", "b"), ("b", "6"), ("li", "h"), ("w", "vv"), ("rn", "m"), ("fi", "ﬁ"), ("fl", "ﬂ"), ("ff", "ﬀ"), ("ffi", "ﬃ"), ("ffl", "ﬄ"), ("i", "1"), ("b", "8"), ("z", "2"))
 #: A misread form has at most this share of the right form's count, and three more.
 MOST = 0.03
+#: Two lines that differ in a larger share of their letters are not one running line.
+APART = 0.25
 ODD = "�ﬁﬂﬀﬃﬄﬅﬆ"
 
 _TOKEN = re.compile(rf"[^\W_]*(?:[{ODD}][^\W_]*)+|[^\W_]+")
@@ -79,18 +81,33 @@ def letters(text: str) -> str:
 
 
 def distance(a: str, b: str, most: int) -> int:
-    """Edit distance up to ``most``, U+FFFD matching any one letter."""
-    if abs(len(a) - len(b)) > most:
+    """Edit distance up to ``most``, U+FFFD matching any one letter; rows of the
+    table within that distance of the diagonal only."""
+    n, m = len(a), len(b)
+    if abs(n - m) > most:
         return most + 1
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y and "�" not in (x, y))))
+    far = most + 1
+    row = [j if j <= most else far for j in range(m + 1)]
+    for i in range(1, n + 1):
+        x, lo, hi = a[i - 1], max(1, i - most), min(m, i + most)
+        new = [far] * (m + 1)
+        if i <= most:
+            new[0] = i
+        last = least = new[lo - 1]
+        for j in range(lo, hi + 1):
+            y = b[j - 1]
+            v = row[j - 1] if x == y or x == "�" or y == "�" else row[j - 1] + 1
+            if row[j] < v:
+                v = min(v, row[j] + 1)
+            if last < v:
+                v = min(v, last + 1)
+            new[j] = last = v
+            if v < least:
+                least = v
+        if least > most:
+            return far
         row = new
-        if min(row) > most:
-            return most + 1
-    return row[-1]
+    return min(row[m], far)
 
 
 def same_line_features(a: str, b: str) -> list[float]:
@@ -98,7 +115,7 @@ def same_line_features(a: str, b: str) -> list[float]:
     x, y = letters(a), letters(b)
     f, g = fold(x), fold(y)
     n = max(len(f), len(g), 1)
-    d = distance(f, g, max(2, n // 2))
+    d = distance(f, g, max(2, n // 3))
     return [float(f == g), d / n, float(n), abs(len(x) - len(y)) / n, float(x.isupper() == y.isupper()), float(x[:1].isupper() and y[:1].isupper()), float(len(x.split()) != len(y.split()))]
 
 
@@ -180,12 +197,23 @@ class Page:
             groups[fold(letters(self.rows[i]))].append(i)
         heads = sorted((k for k in groups if k), key=lambda k: -len(groups[k]))
         owner = {k: k for k in heads}
+        # Half the difference of letter counts is a lower bound of the edit distance, so
+        # lines that differ in more than APART of their letters are not compared.
+        letters_of = np.zeros((len(heads), 32), np.int32)
         for n, k in enumerate(heads):
-            for other in heads[:n]:
-                if owner[other] != other or abs(len(k) - len(other)) > max(3, len(other) // 3) or len(groups[other]) < 2 and len(k) > 40:
+            np.add.at(letters_of[n], np.frombuffer(k.encode("utf-32-le"), np.uint32) % 32, 1)
+        size = np.array([len(k) for k in heads])
+        for n, k in enumerate(heads):
+            if not n:
+                continue
+            apart = np.abs(letters_of[:n] - letters_of[n]).sum(1) / 2
+            for m in np.flatnonzero(apart <= APART * np.maximum(size[:n], size[n])).tolist():
+                other = heads[m]
+                # Lines of a text are longer than running lines, and differ.
+                if owner[other] != other or len(groups[other]) < 2 and len(k) > 40:
                     continue
                 f = same_line_features(self.rows[groups[other][0]], self.rows[groups[k][0]])
-                if (same.probability(np.array([f]))[0] > 0.5) if same else f[1] <= 0.2:
+                if f[1] <= APART and ((same.probability(np.array([f]))[0] > 0.5) if same else f[1] <= 0.2):
                     owner[k] = other
                     break
         merged: dict[str, list[int]] = defaultdict(list)
