@@ -33,6 +33,8 @@ APART = 0.25
 ODD = "�ﬁﬂﬀﬃﬄﬅﬆ"
 
 _TOKEN = re.compile(rf"[^\W_]*(?:[{ODD}][^\W_]*)+|[^\W_]+")
+_LETTER = re.compile(r"[^\W\d_]|�")
+_PAIR = re.compile(r"(?=\b([^\W\d_]+-[^\W\d_]+)\b)")
 _MARK = re.compile(rf"([^\W_{ODD}]|[{ODD}])([-\u00ac\u00ad\u2010\u2011])\s*$")
 _BREAK = re.compile(r"[\s\x0c]*(?:[-=_*~#—–•·.]\s*){3,}$")
 _CAPTION = re.compile(r"\W*(?:table|fig(?:ure)?|box|map|chart|plate|annex(?:ure)?|exhibit)\b\.?\s*[\dIVXLC]", re.IGNORECASE)
@@ -50,6 +52,9 @@ _DIGIT = str.maketrans("OolI|SsBZzGgqbi", "001115582269961"[:15])
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 
 
+_NUMBERED = re.compile(rf"^\W*{_D}{{1,4}}\s{{2,}}|\s{{2,}}{_D}{{1,4}}\W*$|^\W*\d{{1,4}}\W+|\W+\d{{1,4}}\W*$")
+
+
 def number(text: str, style: str) -> int | None:
     """Value of a page number; none where it can't be read."""
     t = text.strip().lower()
@@ -65,19 +70,21 @@ def number(text: str, style: str) -> int | None:
     return int(t) if t.isdigit() else None
 
 
+_ALIKE, _ALSO = str.maketrans("0519682|", "olsgbbzl"), str.maketrans("ctilh", "eflib")
+
+
 def fold(text: str) -> str:
     """Letters of a line with usual misreadings made one, without digits' places."""
     t = text.lower()
     for a, b in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("rn", "m"), ("ri", "n"), ("cl", "d"), ("vv", "w"), ("ii", "u"), ("li", "h")):
         t = t.replace(a, b)
-    t = t.translate(str.maketrans("0519682|", "olsgbbzl"))
-    t = t.translate(str.maketrans("ctilh", "eflib")).replace("i", "l")
+    t = t.translate(_ALIKE).translate(_ALSO).replace("i", "l")
     return "".join(c for c in t if c.isalpha() or c == "�")
 
 
 def letters(text: str) -> str:
     """A line without the page number that it begins or ends with."""
-    return re.sub(rf"^\W*{_D}{{1,4}}\s{{2,}}|\s{{2,}}{_D}{{1,4}}\W*$|^\W*\d{{1,4}}\W+|\W+\d{{1,4}}\W*$", "", text.strip())
+    return _NUMBERED.sub("", text.strip())
 
 
 def distance(a: str, b: str, most: int) -> int:
@@ -125,6 +132,8 @@ class Page:
     def __init__(self, text: str, n_pages: int | None) -> None:
         self.rows = text.split("\n")
         self.kinds = ["text"] * len(self.rows)
+        self._candidates: list[int] | None = None
+        self._words: dict[int, list[str]] = {}
         for i, r in enumerate(self.rows):
             s = r.strip(" \t\r\x0c\u00a0\u200b\ufeff")
             if not s:
@@ -183,12 +192,15 @@ class Page:
 
     def candidates(self) -> list[int]:
         """Lines that may be running lines: short, not like the middle of a text."""
-        out = []
-        for i, r in enumerate(self.rows):
-            s = letters(r)
-            if self.kinds[i] == "text" and 2 < len(s) <= 90 and len(s.split()) <= 12 and s[-1] not in ".;,:!?।-\u00ac\u00ad\u2010" and not s[0].islower() and sum(c.isalpha() or c == "�" for c in s) > 0.6 * len(s.replace(" ", "")) and not _CAPTION.match(s):
-                out.append(i)
-        return out
+        if self._candidates is None:
+            self._candidates = []
+            for i, r in enumerate(self.rows):
+                if self.kinds[i] != "text" or len(r) > 120:
+                    continue
+                s = letters(r)
+                if 2 < len(s) <= 90 and len(s.split()) <= 12 and s[-1] not in ".;,:!?।-\u00ac\u00ad\u2010" and not s[0].islower() and len(_LETTER.findall(s)) > 0.6 * (len(s) - s.count(" ")) and not _CAPTION.match(s):
+                    self._candidates.append(i)
+        return [i for i in self._candidates if self.kinds[i] == "text"]
 
     def running(self, same: Boosted | None) -> None:
         """Mark the lines that recur on pages of the file."""
@@ -224,6 +236,11 @@ class Page:
                 for i in at:
                     self.kinds[i] = "running"
 
+    def words(self, i: int) -> list[str]:
+        if i not in self._words:
+            self._words[i] = _TOKEN.findall(self.rows[i].lower())
+        return self._words[i]
+
     def breaks(self) -> list[tuple[int, int, str, str, str, bool]]:
         """(line, next text line, left part, right part, mark, whether the right part
         is in lower case) of words that may be broken at a line's end."""
@@ -235,26 +252,27 @@ class Page:
             j = next((j for j in text[n + 1 : n + 4] if j not in aside), text[n + 1])
             m = _MARK.search(self.rows[i].rstrip(" \t\r\x0c"))
             if m and any(c.isalpha() or c in ODD for c in self.rows[j][:3].strip()):
-                left, right = _TOKEN.findall(self.rows[i]), _TOKEN.findall(self.rows[j])
+                left, right = self.words(i), self.words(j)
                 if left and right:
-                    out.append((i, j, left[-1].lower(), right[0].lower(), m[2], self.rows[j].lstrip()[:1].islower() or self.rows[j].lstrip()[:1] in ODD))
+                    out.append((i, j, left[-1], right[0], m[2], self.rows[j].lstrip()[:1].islower() or self.rows[j].lstrip()[:1] in ODD))
         return out
 
     def tokens(self) -> list[tuple[int, str]]:
         """(line, word in lower case) of text lines, parts of broken words aside."""
-        skip_last, skip_first = {b[0] for b in self.breaks()}, {b[1] for b in self.breaks()}
+        broken = self.breaks()
+        skip_last, skip_first = {b[0] for b in broken}, {b[1] for b in broken}
         out = []
         for i, k in enumerate(self.kinds):
             if k == "text":
-                words = _TOKEN.findall(self.rows[i])
+                words = self.words(i)
                 words = words[1:] if i in skip_first else words
                 words = words[:-1] if i in skip_last else words
-                out += [(i, w.lower()) for w in words if any(c.isalpha() or c in ODD for c in w)]
+                out += [(i, w) for w in words if w.isalpha() or any(c.isalpha() or c in ODD for c in w)]
         return out
 
     def compounds(self) -> list[str]:
         """Hyphenated words inside text lines, as left-right."""
-        return [m.lower() for i, k in enumerate(self.kinds) if k == "text" for m in re.findall(r"(?=\b([^\W\d_]+-[^\W\d_]+)\b)", self.rows[i])]
+        return [m.lower() for i, k in enumerate(self.kinds) if k == "text" and "-" in self.rows[i] for m in _PAIR.findall(self.rows[i])]
 
 
 def fit_same_line(texts: list[tuple[str, int | None]]) -> Boosted:
@@ -455,8 +473,10 @@ class Scans:
 
     def _readings(self, sample: int = 3000) -> None:
         """Corrections (word, right) of misread words of the vocabulary."""
-        v = self.vocabulary.filter(F.length("word") >= 2)
-        right = v.filter(F.col("n") >= 3).filter(F.col("word").rlike(r"^\p{L}[\p{L}\p{M}]+$"))
+        # Words that are broken at a line's end are read whole.
+        broken = self.pages.select(F.explode("breaks").alias("b")).select(F.concat("b.l", "b.r").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+        v = self.vocabulary.unionByName(broken.join(self.vocabulary.select("word"), "word", "left_anti")).filter(F.length("word") >= 2)
+        right = self.vocabulary.filter(F.length("word") >= 2).filter(F.col("n") >= 3).filter(F.col("word").rlike(r"^\p{L}[\p{L}\p{M}]+$"))
         # Suspicious: anything but numbers, and with letters in the main.
         read = v.filter(F.regexp_count("word", F.lit(r"\p{L}|[�]")) * 2 >= F.length("word"))
         cells = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.struct(F.substr(F.concat(F.lit("^"), w, F.lit("$")), i, F.lit(2)).alias("g"), i.alias("at")))
@@ -518,8 +538,8 @@ class Scans:
         words that may be broken at a line's end."""
         b = self.pages.select("file_id", F.explode("breaks").alias("b")).select("file_id", "b.*")
         counts = self.vocabulary.unionByName(self.compounds).groupBy("word").agg(F.sum("n").alias("n"))
-        fixed = counts.join(broadcast_if_small(self.corrections), "word", "left").join(counts.select(F.col("word").alias("right"), F.col("n").alias("m")), "right", "left").select("word", F.coalesce("m", "n").alias("n"))
-        # A word that is only ever broken may still be a misreading of a known one.
+        # A misread form counts as often as its reading.
+        fixed = counts.join(self.corrections, "word", "full").join(counts.select(F.col("word").alias("right"), F.col("n").alias("m")), "right", "left").select("word", F.coalesce("m", "n").alias("n"))
         keys = F.array(F.col("l"), F.col("r"), F.concat("l", "r"), F.concat("l", F.lit("-"), "r"))
         asked = b.select("l", "r").distinct().select("l", "r", F.posexplode(keys).alias("role", "word"))
         known = asked.join(broadcast_if_small(fixed), "word", "left").groupBy("l", "r").agg(*[F.coalesce(F.max(F.when(F.col("role") == k, F.col("n"))), F.lit(0)).alias(c) for k, c in enumerate(("n_l", "n_r", "n_joined", "n_pair"))])
