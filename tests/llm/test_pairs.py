@@ -2,6 +2,7 @@
 
 import json
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -41,11 +42,13 @@ def test_segment_join_equals_brute_force():
     s = overlap.Segments([((i,), e) for i, e in enumerate(evals)])
     got = set(s.matches(train))
     want = set()
+    often = Counter(w for v in evals for w in set(v))
+    rare_of = [{w for w in v if often[w] <= max(1, overlap.RARE * len(evals))} for v in evals]
     for d, t in enumerate(train):
         for e, v in enumerate(evals):
             n = max(len(t), len(v))
             if t and n - common(v, t) <= overlap.allowed(n):
-                rare = set(v)
+                rare = rare_of[e]
                 if len(rare) <= 3 or len(rare & set(t)) >= np.ceil(overlap.KEPT * len(rare)):
                     want.add((d, e))
     assert got == want and len(want) > 100
