@@ -141,7 +141,9 @@ def chunks(items: Column, size: int, least: int) -> Column:
 
 
 def drop_reason(text: Column, least_words: int = 50, most_devanagari: float = 0.30) -> Column:
-    """Why a document is dropped: the first reason, or an empty text to keep it."""
+    """Why a document is dropped: the first reason, or an empty text to keep it. A null
+    text has no words."""
+    text = F.coalesce(text, F.lit(""))
     n, ratio = word_count(text), devanagari_ratio(text)
     few = F.concat(F.lit("words="), n.cast("string"), F.lit(f" below floor ({least_words})"))
     return F.when(n < least_words, few).when(ratio > most_devanagari, F.lit("devanagari ratio above limit")).otherwise(F.lit(""))

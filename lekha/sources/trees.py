@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,8 +16,10 @@ DELIMITER = "<<<END-RECORD>>>"
 
 def _located(df: DataFrame, root: str) -> DataFrame:
     """Path below ``root``, source (its first part) and format of each file."""
-    path = F.regexp_replace(F.col("_metadata.file_path"), "^[a-z]+:/{1,3}(?=/)|^[a-z]+:", "")
-    rel = F.regexp_replace(path, F.concat(F.lit("^.*?\\Q"), F.lit(root.rstrip("/")), F.lit("\\E/")), "")
+    scheme = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+    path = F.url_decode(F.replace(F.regexp_replace(F.col("_metadata.file_path"), scheme, ""), F.lit("+"), F.lit("%2B")))
+    at = re.sub(scheme, "", root).rstrip("/") + "/"
+    rel = F.when(F.contains(path, F.lit(at)), F.substr(path, F.locate(at, path) + F.lit(len(at)), F.length(path))).otherwise(path)
     return df.withColumn("rel_path", rel).withColumn("source", F.element_at(F.split("rel_path", "/"), 1)).withColumn("format", F.regexp_extract("rel_path", r"\.([A-Za-z0-9]+)$", 1))
 
 

@@ -52,7 +52,7 @@ def test_ngrams_and_chunks(spark):
 def test_drop_reason(spark):
     long = " ".join(["word"] * 60)
     hindi = " ".join(["नमस्ते"] * 60)
-    assert run(spark, T.drop_reason, ["few words", long, hindi]) == ["words=2 below floor (50)", "", "devanagari ratio above limit"]
+    assert run(spark, T.drop_reason, ["few words", long, hindi, None]) == ["words=2 below floor (50)", "", "devanagari ratio above limit", "words=0 below floor (50)"]
 
 
 def test_cruft(spark):
