@@ -78,10 +78,11 @@ class Passages:
     """Query set: all words in one array, and the windows to look up.
 
     ``size`` words in a row of one value make a case, or all words of a question
-    of ``least`` words or more that is shorter than that.
+    of ``least`` words or more that is shorter than that. Windows begin at every
+    ``stride``-th word of a value.
     """
 
-    def __init__(self, rows: list[tuple[object, str | None]], size: int = 15, least: int = 8) -> None:
+    def __init__(self, rows: list[tuple[object, str | None]], size: int = 15, least: int = 8, stride: int = 1) -> None:
         self.size, self.keys = size, []
         vocabulary: dict[str, int] = {}
         text, starts, lengths, owner = [], [], [], []
@@ -99,9 +100,10 @@ class Passages:
                 span = len(ids) if short else size
                 first = len(text)
                 text += ids
-                starts += range(first, first + len(ids) - span + 1)
-                lengths += [span] * (len(ids) - span + 1)
-                owner += [len(self.keys)] * (len(ids) - span + 1)
+                at = range(first, first + len(ids) - span + 1, stride)
+                starts += at
+                lengths += [span] * len(at)
+                owner += [len(self.keys)] * len(at)
                 self.keys.append(key)
         self.vocabulary = vocabulary
         self.text = np.array(text, np.int32)
@@ -228,7 +230,8 @@ def leaked(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text: str = "
     Without ``slack`` a passage is exact: ``size`` words in a row of one string
     value of the payload, or all words of its question where that has ``least`` to
     ``size`` - 1. With ``slack``, at least ``share`` of such a window's words, each
-    within ``slack`` places of its own.
+    within ``slack`` places of its own; windows of a value then follow each other
+    without overlap.
 
     The test items are a stated query set. They are taken in blocks of
     ``block_rows`` rows, each sent to all executors and run against all documents,
@@ -244,7 +247,7 @@ def leaked(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text: str = "
     out = None
     for block in range(parts):
         mine = rows.filter(F.pmod(F.xxhash64("k", "p"), F.lit(parts)) == block) if parts > 1 else rows
-        query = docs.sparkSession.sparkContext.broadcast(Passages([(r.k, r.p) for r in mine.collect()], size, least))
+        query = docs.sparkSession.sparkContext.broadcast(Passages([(r.k, r.p) for r in mine.collect()], size, least, 1 if slack is None else size))
 
         def run(batches: Iterator[pa.RecordBatch], query=query) -> Iterator[pa.RecordBatch]:
             for b in batches:

@@ -85,6 +85,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return passages.leaked(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_set", "question_id", "gold_payload"))
 
 
+def p6_near(spark: SparkSession, d: str) -> DataFrame:
+    return passages.leaked(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_set", "question_id", "gold_payload"), slack=2)
+
+
 def p6_items(spark: SparkSession, d: str) -> DataFrame:
     return p6_found(spark, d).groupBy("question_id").agg(F.countDistinct("doc_id").alias("n_docs"))
 
@@ -123,7 +127,7 @@ def p9_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_text, p2_found, p2_counts, p3_found, p3_counts, p4_found, p4_cleaned, p4_removed, p5_selection, p5_shares, p6_found, p6_items, p7_ids, p7_decoded, p8_packed, p8_fill, p9_found, p9_stats)}
+    return {f.__name__: f for f in (p1_found, p1_text, p2_found, p2_counts, p3_found, p3_counts, p4_found, p4_cleaned, p4_removed, p5_selection, p5_shares, p6_found, p6_near, p6_items, p7_ids, p7_decoded, p8_packed, p8_fill, p9_found, p9_stats)}
 
 
 #: Lines as the operators compare them: ASCII punctuation, digits and white space
