@@ -56,6 +56,16 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
+def hash_sample(df: DataFrame, columns: list[str], n: int) -> DataFrame:
+    """About ``n`` rows of ``df`` (all where it has fewer, 2 n at most), the same on
+    every run: those whose hash of ``columns`` is low enough. Rows are dropped where
+    they are read; ordering by the hash would send n rows of every task to one."""
+    rows = df.count()
+    if rows <= n:
+        return df
+    return df.filter(F.pmod(F.xxhash64(*columns), F.lit(1 << 40)) < int(n / rows * (1 << 40))).limit(2 * n)
+
+
 def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", broadcast_rows: int = 0) -> DataFrame:
     """Join on equal ``keys``, where null equals null. With ``broadcast_rows`` the
     right side is broadcast if it has at most so many rows."""
@@ -71,4 +81,4 @@ def tokenizer_dir() -> str:
     return os.environ.get("LEKHA_TOKENIZERS", "/opt/tokenizers")
 
 
-__all__ = ["BROADCAST_ROWS", "COLLECT_ROWS", "StorageLevel", "broadcast_if_small", "checkpoint_dir", "cut", "get_spark", "join_same", "small", "tokenizer_dir"]
+__all__ = ["BROADCAST_ROWS", "COLLECT_ROWS", "StorageLevel", "broadcast_if_small", "checkpoint_dir", "cut", "get_spark", "hash_sample", "join_same", "small", "tokenizer_dir"]
