@@ -118,13 +118,14 @@ class Index:
 
     def __init__(self, texts: list[str | None], vocabulary: dict[str, int]) -> None:
         get = vocabulary.get
-        rows = [words(t) for t in texts]
+        # Only the numbers of a text's words are kept, not the words.
+        rows = [np.array([get(w, -1) for w in words(t)], np.int32) for t in texts]
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))
         # One place between texts, which no term holds, ends every phrase.
         self.first = np.concatenate(([0], np.cumsum(sizes + 1)))
         self.text = np.full(int(self.first[-1]) + 64, -1, np.int32)
         for r, at in zip(rows, self.first.tolist(), strict=False):
-            self.text[at : at + len(r)] = [get(w, -1) for w in r]
+            self.text[at : at + len(r)] = r
         n = len(vocabulary)
         at = np.flatnonzero(self.text >= 0)
         terms = self.text[at]
