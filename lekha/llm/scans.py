@@ -22,12 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lekha.llm.boosting import Boosted
-from lekha.session import broadcast_if_small, cut
+from lekha.session import broadcast_if_small, cut, hash_sample
 
 #: Usual misreadings (right, read); what the corpus shows is added.
 MISREAD = (("e", "c"), ("i", "l"), ("t", "f"), ("l", "1"), ("s", "5"), ("n", "ri"), ("o", "0"), ("d", "cl"), ("u", "ii"), ("m", "rn"), ("g", "9"), ("h", "b"), ("b", "6"), ("li", "h"), ("w", "vv"), ("rn", "m"), ("fi", "ﬁ"), ("fl", "ﬂ"), ("ff", "ﬀ"), ("ffi", "ﬃ"), ("ffl", "ﬄ"), ("i", "1"), ("b", "8"), ("z", "2"))
 #: A misread form has at most this share of the right form's count, and three more.
 MOST = 0.03
+#: Files that a task takes apart at a time.
+FILES = 64
 #: Two lines that differ in a larger share of their letters are not one running line.
 APART = 0.25
 ODD = "�ﬁﬂﬀﬃﬄﬅﬆ"
@@ -445,28 +447,33 @@ def join_features(left: str, right: str, n_left: int, n_right: int, n_joined: in
 class Scans:
     """What is found in the files: tables with lineage cut, and their models."""
 
-    def __init__(self, files: DataFrame, key: str = "file_id", text: str = "md_text", pages: str = "n_pages", sample: int = 400) -> None:
+    def __init__(self, files: DataFrame, key: str = "file_id", text: str = "md_text", pages: str = "n_pages", sample: int = 300) -> None:
         spark = files.sparkSession
         self.key = key
         src = files.select(F.col(key).alias("file_id"), F.col(text).cast("string").alias("text"), F.col(pages).cast("int").alias("n_pages")).filter("text IS NOT NULL AND file_id IS NOT NULL").distinct()
         self.kind = src.schema[0].dataType.simpleString()
-        some = src.orderBy(F.xxhash64("file_id", "text")).limit(sample).collect()
-        same = spark.sparkContext.broadcast(fit_same_line([(r.text, r.n_pages) for r in some]))
+        some = sorted((r.text, r.n_pages or 0) for r in hash_sample(src, ["file_id"], sample).collect())
+        same = spark.sparkContext.broadcast(fit_same_line(some))
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                out: list[tuple] = []
-                for text, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                    page = Page(text, n)
-                    page.running(same.value)
-                    lines = [(i, k) for i, k in enumerate(page.kinds) if k in ("running", "page_no")]
-                    out.append(([{"line_no": i, "kind": k} for i, k in lines], [dict(zip(("line_no", "next_line", "l", "r", "mark", "low"), x, strict=True)) for x in page.breaks()], [{"line_no": i, "word": w} for i, w in page.tokens()], page.compounds()))
-                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[c] for r in out], t) for c, t in enumerate(types)]], names=["file_id", "lines", "breaks", "words", "compounds"])
-
-        fields = "lines array<struct<line_no:int,kind:string>>, breaks array<struct<line_no:int,next_line:int,l:string,r:string,mark:string,low:boolean>>, words array<struct<line_no:int,word:string>>, compounds array<string>"
+            for whole in batches:
+                # A few files at a time: what is taken out of a file is larger than the file.
+                for at in range(0, whole.num_rows, FILES):
+                    b = whole.slice(at, FILES)
+                    out: list[tuple] = []
+                    for text, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                        page = Page(text, n)
+                        page.running(same.value)
+                        lines = [{"line_no": i, "kind": k} for i, k in enumerate(page.kinds) if k in ("running", "page_no")]
+                        breaks = [dict(zip(("line_no", "next_line", "l", "r", "mark", "low"), x, strict=True)) for x in page.breaks()]
+                        words = page.tokens()
+                        out.append((lines, breaks, [i for i, _ in words], [w for _, w in words], page.compounds()))
+                    yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[c] for r in out], t) for c, t in enumerate(types)]], names=["file_id", "lines", "breaks", "at", "words", "compounds"])
+
+        fields = "lines array<struct<line_no:int,kind:string>>, breaks array<struct<line_no:int,next_line:int,l:string,r:string,mark:string,low:boolean>>, at array<int>, words array<string>, compounds array<string>"
         types = list(spark.createDataFrame([], fields).toArrow().schema.types)
         self.pages = cut(src.mapInArrow(read, f"file_id {self.kind}, {fields}"))
-        words = self.pages.select(F.explode("words.word").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+        words = self.pages.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
         self.vocabulary = cut(words)
         self.compounds = cut(self.pages.select(F.explode("compounds").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
         self._readings()
@@ -488,7 +495,7 @@ class Scans:
         pairs = a.join(b, ["g", "at"]).filter(close).groupBy("word", "right").agg(F.countDistinct("g", "at").alias("shared"), F.first("n").alias("n"), F.first("n_right").alias("n_right"))
         pairs = cut(pairs.filter(F.col("shared") >= F.ceil((F.length("word") + 1) * 0.35)))
         costs = self._costs(pairs)
-        words = [(r.word, r.n) for r in right.filter("n >= 8").orderBy(F.xxhash64("word")).limit(sample).collect()]
+        words = sorted((r.word, r.n) for r in hash_sample(right.filter("n >= 8"), ["word"], sample).collect())
         readings = self.vocabulary.sparkSession.sparkContext.broadcast(fit_readings(words, costs))
 
         def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -528,7 +535,7 @@ class Scans:
         """file_id, line_no, word and right of misread words in text lines. Words with
         a replacement character or ligature sign, and words with a digit between
         letters, are misread even if no reading is found (right is null)."""
-        at = self.pages.select("file_id", F.explode("words").alias("w")).select("file_id", "w.line_no", "w.word")
+        at = self.pages.select("file_id", F.posexplode("words").alias("k", "word"), "at").select("file_id", F.col("at")[F.col("k")].alias("line_no"), "word")
         odd = F.col("word").rlike("[�ﬁﬂﬀﬃﬄﬅﬆ]") | F.col("word").rlike(r"^\p{L}*(\p{L}{2}[0156899]\p{L}|\p{L}[0156899]\p{L}{2})\p{L}*$")
         one = at.join(broadcast_if_small(self.corrections), "word", "left").filter(F.col("right").isNotNull() | odd)
         return one.select("file_id", "line_no", "word", "right")
@@ -543,8 +550,8 @@ class Scans:
         keys = F.array(F.col("l"), F.col("r"), F.concat("l", "r"), F.concat("l", F.lit("-"), "r"))
         asked = b.select("l", "r").distinct().select("l", "r", F.posexplode(keys).alias("role", "word"))
         known = asked.join(broadcast_if_small(fixed), "word", "left").groupBy("l", "r").agg(*[F.coalesce(F.max(F.when(F.col("role") == k, F.col("n"))), F.lit(0)).alias(c) for k, c in enumerate(("n_l", "n_r", "n_joined", "n_pair"))])
-        words = {r.word: r.n for r in self.vocabulary.filter("n >= 5").orderBy(F.xxhash64("word")).limit(sample).collect() if r.word.isalpha()}
-        pairs = {r.word: r.n for r in self.compounds.orderBy(F.xxhash64("word")).limit(sample).collect()}
+        words = dict(sorted((r.word, r.n) for r in hash_sample(self.vocabulary.filter("n >= 5"), ["word"], sample).collect() if r.word.isalpha()))
+        pairs = dict(sorted((r.word, r.n) for r in hash_sample(self.compounds, ["word"], sample).collect()))
         for c in pairs:
             for part in c.split("-", 1):
                 words.setdefault(part, 5)
@@ -664,7 +671,7 @@ def repaired(files: DataFrame, key: str = "file_id", text: str = "md_text", page
     whole = src.join(lines, "file_id").join(fixes, "file_id", "left").select("file_id", "text", "lines", "fixes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (w.slice(at, FILES) for w in batches for at in range(0, w.num_rows, FILES)):
             out = [(k, n, p) for k, t, ls, fs in zip(*(c.to_pylist() for c in b.columns), strict=True) for n, p in enumerate(rebuilt(t, {x["line_no"]: x["kind"] for x in ls or []}, fs or []))]
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], b.column(0).type), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.string())], names=["file_id", "para_no", "paragraph"])
 
