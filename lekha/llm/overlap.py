@@ -30,7 +30,7 @@ RATE = 0.22
 RARE, KEPT = 0.05, 0.6
 
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,80}>|\\[a-z]+\{|\*\*|~~")
-_ASIDE = re.compile(r"[(\[{][^()\[\]{}]{0,60}?(?:\b(?:marks?|mock|words?|paper|set|test|upsc|pyq|repeat(?:ed)?|source|year|(?:19|20)\d\d|q(?:uestion)?\s*(?:no)?\.?\s*\d)\b|अंक|शब्द|प्रश्न)[^()\[\]{}]{0,60}?[)\]}]", re.IGNORECASE)
+_ASIDE = re.compile(r"[(\[{][^()\[\]{}]{0,60}?(?:\b(?:marks?|mock|words?|paper|set|test|exam|pyq|repeat(?:ed)?|source|year|(?:19|20)\d\d|q(?:uestion)?\s*(?:no)?\.?\s*\d)\b|अंक|शब्द|प्रश्न)[^()\[\]{}]{0,60}?[)\]}]", re.IGNORECASE)
 _NUMBER = re.compile(r"(?mi)^\s*(?:q(?:uestion|ues)?|प्रश्न|प्र)?\s*(?:no)?\s*[.:]?\s*[(\[]?\d{1,3}\s*[.):\]-]\s+|^\s*(?:q(?:uestion|ues)?|प्रश्न|प्र)\s*(?:no)?\s*[.:]?\s*\d{1,3}\s*[.):-]?\s+")
 _TAIL = re.compile(r"[-–—|,]?\s*\b\d{1,3}\s*marks?\.?\s*$", re.IGNORECASE)
 
