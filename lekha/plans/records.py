@@ -15,7 +15,7 @@ def _json_columns(s, d):
 
 
 register("src02_json_columns", _json_columns, "SELECT question_id, task, json_extract_string(gold_payload, '$.question') AS question, json_extract_string(gold_payload, '$.title') AS title, json_extract_string(gold_payload, '$.correct_option') AS correct_option, TRY_CAST(json_extract_string(gold_payload, '$.word_count') AS INT) AS word_count, TRY_CAST(json_extract_string(gold_payload, '$.max_score') AS DOUBLE) AS max_score FROM eval_set")
-register("src03_extract", lambda s, d: table(s, d, "ft_corpus", "pair_id", "task", "language", "source_db").filter("language = 'en' AND task IN ('A', 'B') AND source_db = 'upscdev'").select("pair_id", "task").distinct().orderBy("pair_id"), "SELECT DISTINCT pair_id, task FROM ft_corpus WHERE language = 'en' AND task IN ('A', 'B') AND source_db = 'upscdev' ORDER BY pair_id")
+register("src03_extract", lambda s, d: table(s, d, "ft_corpus", "pair_id", "task", "language", "source_db").filter("language = 'en' AND task IN ('A', 'B') AND source_db <> 'prod-db'").select("pair_id", "task").distinct().orderBy("pair_id"), "SELECT DISTINCT pair_id, task FROM ft_corpus WHERE language = 'en' AND task IN ('A', 'B') AND source_db <> 'prod-db' ORDER BY pair_id")
 register("src04_pruned_scan", lambda s, d: table(s, d, "predictions", "condition", "latency_ms").filter("latency_ms > 1000").groupBy("condition").agg(F.count(F.lit(1)).alias("n")), "SELECT condition, count(*) AS n FROM predictions WHERE latency_ms > 1000 GROUP BY condition")
 register("src05_row_count", lambda s, d: table(s, d, "documents").agg(F.count(F.lit(1)).alias("n")), "SELECT count(*) AS n FROM documents")
 register("src07_overlay", lambda s, d: table(s, d, "clean_results", F.col("dst_path").alias("path")).filter("path IS NOT NULL").distinct().join(table(s, d, "documents", F.col("dst_path").alias("path")), "path", "left_anti").select("path", F.lit("raw").alias("root")).unionByName(table(s, d, "documents", F.col("dst_path").alias("path")).select("path", F.lit("text").alias("root"))), "SELECT DISTINCT dst_path AS path, 'raw' AS root FROM clean_results WHERE dst_path IS NOT NULL AND dst_path NOT IN (SELECT dst_path FROM documents WHERE dst_path IS NOT NULL) UNION ALL SELECT dst_path, 'text' FROM documents")
@@ -40,7 +40,7 @@ def _budgeted_mix(s, d):
 
 
 register("ag10_mix_caps", _budgeted_mix, "SELECT model, source, per_source_tokens AS tokens, per_source_tokens > cap_tokens AS over FROM (SELECT *, row_number() OVER (PARTITION BY model, source ORDER BY packed_at DESC, run_id DESC NULLS LAST, per_source_tokens DESC NULLS LAST) AS k FROM pack_stats WHERE packed_at IS NOT NULL) JOIN source_mix USING (source) WHERE k = 1")
-register("ev01_windows", lambda s, d: table(s, d, "events", "ts", "event_type", "value").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("v")).select(F.col("window.start").alias("start"), "event_type", "n", F.round("v", 6).alias("v")), "SELECT CAST(time_bucket(INTERVAL 1 HOUR, ts) AS TIMESTAMPTZ) AS start, event_type, count(*) AS n, round(sum(value), 6) AS v FROM events GROUP BY ALL")
+register("ev01_windows", lambda s, d: table(s, d, "events", "ts", "event_type", "value").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("v")).select(F.col("window.start").alias("start"), "event_type", "n", F.round("v", 6).alias("v")), "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS v FROM events GROUP BY ALL")
 
 
 def _gate(s, d):
