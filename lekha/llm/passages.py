@@ -209,16 +209,22 @@ class Index:
             order = order[count[s + order] < np.iinfo(np.int64).max]
             if len(order) < need:
                 continue
+            # Words are asked for from the rarest; a place goes when too many are missing.
+            spare = n - need - (n - len(order))
             for anchor in order[: n - need + 1]:
                 base = self.postings(query.text[s + anchor]) - anchor
-                found = np.zeros(len(base), np.int64)
-                for k in range(n):
+                missing = np.zeros(len(base), np.int64)
+                for k in order.tolist():
+                    if k == anchor or not len(base):
+                        continue
                     other = self.postings(query.text[s + k])
-                    lo = np.searchsorted(other, base + k - slack)
-                    found += (lo < len(other)) & (other[np.minimum(lo, len(other) - 1)] <= base + k + slack) if len(other) else 0
-                hit = base[found >= need] + anchor
-                out_p.append(hit)
-                out_w.append(np.full(len(hit), w))
+                    lo = np.searchsorted(other, base + (k - slack))
+                    missing += (lo == len(other)) | (other[np.minimum(lo, len(other) - 1)] > base + (k + slack))
+                    few = missing <= spare
+                    base, missing = base[few], missing[few]
+                if len(base):
+                    out_p.append(base + anchor)
+                    out_w.append(np.full(len(base), w))
         if not out_p:
             return none, none
         p, w = np.concatenate(out_p), np.concatenate(out_w)
