@@ -193,52 +193,93 @@ class Index:
             p, w = p[keep], w[keep]
         return np.searchsorted(self.first, p, side="right") - 1, query.owner[w]
 
-    def near(self, query: Passages, slack: int, share: float) -> tuple[np.ndarray, np.ndarray]:
-        """(text, owner) of proximity matches: at least ``share`` of a window's
-        words, each within ``slack`` places of where the rarest word puts it."""
+    def near(self, query: Passages, slack: int, share: float, pairs: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+        """(text, owner) of proximity matches: places of a window in a text at which one
+        of its words stands exactly and at least ``share`` of them within ``slack``
+        places. Work is cut into steps of about ``pairs`` places."""
         none = np.zeros(0, np.int64)
         if not len(query) or not len(self.positions):
             return none, none
-        count = np.where(self.count > 0, self.count, np.iinfo(np.int64).max)[query.text]
-        out_p, out_w = [], []
-        for w in range(len(query)):
-            s, n = int(query.starts[w]), int(query.lengths[w])
-            need = int(np.ceil(share * n))
-            # Of n words at most n - need may be missing, so one of the n - need + 1 rarest must be there.
-            order = np.argsort(count[s : s + n], kind="stable")
-            order = order[count[s + order] < np.iinfo(np.int64).max]
-            if len(order) < need:
-                continue
-            # Words are asked for from the rarest; a place goes when too many are missing.
-            spare = n - need - (n - len(order))
-            for anchor in order[: n - need + 1]:
-                base = self.postings(query.text[s + anchor]) - anchor
-                missing = np.zeros(len(base), np.int64)
-                for k in order.tolist():
-                    if k == anchor or not len(base):
-                        continue
-                    other = self.postings(query.text[s + k])
-                    lo = np.searchsorted(other, base + (k - slack))
-                    missing += (lo == len(other)) | (other[np.minimum(lo, len(other) - 1)] > base + (k + slack))
-                    few = missing <= spare
-                    base, missing = base[few], missing[few]
-                if len(base):
-                    out_p.append(base + anchor)
-                    out_w.append(np.full(len(base), w))
-        if not out_p:
+        edge = int(query.lengths.max()) + 2 * slack
+        text = np.pad(self.text, edge, constant_values=-1)
+        # One bit of 64 for each word that stands within twice the slack of a place: a
+        # word that is not there is mostly seen by one look.
+        bit = np.where(text >= 0, np.uint64(1) << (text % 64).astype(np.uint64), np.uint64(0))
+        around = bit.copy()
+        for d in range(1, 2 * slack + 1):
+            around[d:] |= bit[:-d]
+            around[:-d] |= bit[d:]
+        words = np.pad(query.text, edge, constant_values=-2)
+        bits = np.uint64(1) << (words % 64).astype(np.uint64)
+        found = []
+        for n in np.unique(query.lengths).tolist():
+            starts = query.starts[query.lengths == n]
+            owner = np.full(len(words), -1, np.int64)
+            owner[starts + edge] = query.owner[query.lengths == n]
+            spare = n - int(np.ceil(share * n))
+            # Of n words at most ``spare`` may be missing, so one of the spare + 1 rarest must
+            # be there. Windows that share such an anchor are looked up together.
+            anchors = []
+            for at in np.array_split(starts, -(-len(starts) * n // pairs)):
+                count = self.count[query.text[at[:, None] + np.arange(n)]]
+                rarest = np.argsort(count, axis=1, kind="stable")[:, : spare + 1]
+                anchors.append(np.unique((at[:, None] + rarest)[(count == 0).sum(1) <= spare]))
+            anchor = np.unique(np.concatenate(anchors))
+            anchor = anchor[self.count[query.text[anchor]] > 0]
+            total = np.cumsum(self.count[query.text[anchor]])
+            for mine in np.split(anchor, np.unique(np.searchsorted(total, np.arange(pairs, int(total[-1]) if len(total) else 0, pairs)))):
+                per = self.count[query.text[mine]]
+                a = np.repeat(mine + edge, per)
+                p = self.positions[np.repeat(self.begin[query.text[mine]] - np.cumsum(per) + per, per) + np.arange(len(a))] + edge
+                # Half of the window's words or more lie on one side of the anchor.
+                left, right = np.zeros(len(a), np.int16), np.zeros(len(a), np.int16)
+                for k in range(1, n // 2 + 1):
+                    left += (around[p - k] & bits[a - k]) == 0
+                    right += (around[p + k] & bits[a + k]) == 0
+                    few = (left <= spare) | (right <= spare)
+                    a, p, left, right = a[few], p[few], left[few], right[few]
+                for k in range(0, len(a), max(1, pairs // (2 * n))):
+                    rows = slice(k, k + max(1, pairs // (2 * n)))
+                    found += self._held(text, words, owner, a[rows], p[rows], edge, n, spare, slack)
+        if not found:
             return none, none
-        p, w = np.concatenate(out_p), np.concatenate(out_w)
-        return np.searchsorted(self.first, p, side="right") - 1, query.owner[w]
+        both = np.unique(np.concatenate(found), axis=0)
+        return both[:, 0], both[:, 1]
+
+    def _held(self, text: np.ndarray, words: np.ndarray, owner: np.ndarray, a: np.ndarray, p: np.ndarray, edge: int, n: int, spare: int, slack: int) -> Iterator[np.ndarray]:
+        """(text, owner) of the windows of ``n`` words around query words ``a`` that hold
+        where these stand within ``slack`` places of ``p``, compared word by word."""
+        doc = np.searchsorted(self.first, p - edge, side="right") - 1
+        low, high = self.first[doc][:, None] + edge, self.first[doc + 1][:, None] + edge
+        reach = np.arange(1 - n, n)
+        want = words[a[:, None] + reach]
+        for shift in range(-slack, slack + 1):
+            place = (p + shift)[:, None] + reach
+            there, exact = np.zeros(want.shape, bool), np.zeros(want.shape, bool)
+            for d in range(-slack, slack + 1):
+                same = (text[place + d] == want) & (place + d >= low) & (place + d < high)
+                there |= same
+                if not d:
+                    exact = same
+            sums = lambda x: np.pad(np.cumsum(x, axis=1, dtype=np.int32), ((0, 0), (1, 0)))
+            hits, firm = sums(there), sums(exact)
+            whose = owner[a[:, None] + reach[:n]]
+            ok = (whose >= 0) & (hits[:, n:] - hits[:, :n] >= n - spare) & (firm[:, n:] > firm[:, :n])
+            r, c = np.nonzero(ok)
+            if len(r):
+                yield np.unique(np.stack((doc[r], whose[r, c]), 1), axis=0)
 
 
-def leaked(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text: str = "text", test_key: str = "question_id", test_payload: str = "gold_payload", size: int = 15, least: int = 8, block_rows: int = 20_000, slack: int | None = None, share: float = 0.9) -> DataFrame:
+def leaked(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text: str = "text", test_key: str = "question_id", test_payload: str = "gold_payload", size: int = 15, least: int = 8, block_rows: int = 20_000, slack: int | None = None, share: float = 0.9, stride: int | None = None) -> DataFrame:
     """Every pair of a document and a test item of which it contains a passage.
 
     Without ``slack`` a passage is exact: ``size`` words in a row of one string
     value of the payload, or all words of its question where that has ``least`` to
     ``size`` - 1. With ``slack``, at least ``share`` of such a window's words, each
-    within ``slack`` places of its own; windows of a value then follow each other
-    without overlap.
+    within ``slack`` places of its own, one of them exactly there. Windows begin at
+    every ``stride``-th word of a value: 1 is all windows, and what is taken for exact
+    passages. With ``slack`` the default is ``size``, windows that follow each other
+    without overlap, which see only part of the passages.
 
     The test items are a stated query set. They are taken in blocks of
     ``block_rows`` rows, each sent to all executors and run against all documents,
@@ -254,7 +295,7 @@ def leaked(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text: str = "
     out = None
     for block in range(parts):
         mine = rows.filter(F.pmod(F.xxhash64("k", "p"), F.lit(parts)) == block) if parts > 1 else rows
-        query = docs.sparkSession.sparkContext.broadcast(Passages([(r.k, r.p) for r in mine.collect()], size, least, 1 if slack is None else size))
+        query = docs.sparkSession.sparkContext.broadcast(Passages([(r.k, r.p) for r in mine.collect()], size, least, stride or (1 if slack is None else size)))
 
         def run(batches: Iterator[pa.RecordBatch], query=query) -> Iterator[pa.RecordBatch]:
             for b in batches:

@@ -86,7 +86,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_near(spark: SparkSession, d: str) -> DataFrame:
-    return passages.leaked(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_set", "question_id", "gold_payload"), slack=2)
+    return passages.leaked(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_set", "question_id", "gold_payload"), slack=2, stride=1)
 
 
 def p6_items(spark: SparkSession, d: str) -> DataFrame:
