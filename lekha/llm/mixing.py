@@ -112,7 +112,7 @@ def plan(patterns: list[tuple[tuple[str, ...], int]], mix: dict[str, dict], tota
     """Quotas of the sources and the flow that fills them.
 
     Shares are scaled to sum to one over the sources that have a share and
-    tokens. Without ``total_tokens`` the total is the largest at which every
+    tokens; one whose cap or repeats allow none counts as without. Without ``total_tokens`` the total is the largest at which every
     source reaches its share exactly. With it, a source that cannot reach its
     share gives what it has.
     """
@@ -121,12 +121,13 @@ def plan(patterns: list[tuple[tuple[str, ...], int]], mix: dict[str, dict], tota
         for s in sources:
             supply[s] = supply.get(s, 0) + tokens
     share = {s: m["target_share"] for s, m in mix.items() if (m["target_share"] or 0) > 0 and supply.get(s)}
+    most = {s: max(0.0, 1.0 if mix[s]["max_repeat"] is None else mix[s]["max_repeat"]) for s in share}
+    cap = {s: int(mix[s]["cap_tokens"]) if mix[s]["cap_tokens"] is not None else int(supply[s] * most[s]) for s in share}
+    share = {s: x for s, x in share.items() if min(cap[s], int(supply[s] * most[s])) > 0}
     scale = sum(share.values())
     if not share:
         return {}, {}
     share = {s: x / scale for s, x in share.items()}
-    most = {s: max(0.0, 1.0 if mix[s]["max_repeat"] is None else mix[s]["max_repeat"]) for s in share}
-    cap = {s: int(mix[s]["cap_tokens"]) if mix[s]["cap_tokens"] is not None else int(supply[s] * most[s]) for s in share}
     quota = lambda t: {s: min(cap[s], int(t * x)) for s, x in share.items()}
     if total_tokens is not None:
         q = quota(total_tokens)

@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 
-from lekha.llm import passages
+from lekha.llm import mixing, passages
 
 VOCABULARY = [f"word{i}" for i in range(300)]
 
@@ -52,3 +52,13 @@ def test_proximity_of_all_windows_equals_brute_force(spark):
     assert near == want and exact < near
     assert pairs(slack=2, share=0.9) < near
     assert pairs(slack=1, share=0.7, stride=1) == close_pairs(evals, docs, 1, 0.7)
+
+
+def test_a_source_that_may_give_nothing_leaves_the_others(spark):
+    kinds = "source string, target_share double, cap_tokens long, max_repeat double, optional boolean"
+    docs = spark.createDataFrame([(i, "abc"[i % 3], i, i, 10) for i in range(90)], "doc_id long, source string, h1 long, h2 long, n_tokens long")
+    for cap, repeat in ((0, 1.0), (None, 0.0)):
+        mix = spark.createDataFrame([("a", 0.3, None, 1.0, None), ("b", 0.3, None, 1.0, None), ("c", 0.4, cap, repeat, None)], kinds)
+        got = {r.source: (r.tokens, r.share) for r in mixing.shares(docs, mix, mixing.select(docs, mix)).collect()}
+        assert got["c"][0] == 0
+        assert got["a"] == got["b"] == (300, 0.5)
