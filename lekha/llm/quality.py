@@ -67,6 +67,9 @@ _SOLID = re.compile(r"[^\W_ऀ-ॿ]|[ऀ-ॿ]")
 _PLAIN = re.compile(r"[A-Za-z“‘\"'][A-Za-z0-9 .,:!?'\"%()“”‘’–—-]*(?:;[A-Za-z0-9 .,:!?'\"%()“”‘’–—-]*)?$|[ऀ-ॿ][ऀ-ॿ0-9 ,.?!–-]*$")
 _RULE = re.compile(r"[-|:=_*+.\s]+$")
 
+#: Words of a stretch whose share of different words is taken.
+STRETCH = 400
+
 
 def _cells(line: str) -> tuple[str, int, float]:
     """Delimiter, number of cells and share of cells that hold a number or a
@@ -170,7 +173,8 @@ def line_kinds(rows: list[str], common: frozenset[str]) -> list[str]:
 
 def statistics(text: str | None, common: frozenset[str], skip: frozenset[int] | set[int] = frozenset()) -> tuple[float, ...]:
     """STATS of one text; lines whose identifier is in ``skip`` are set aside for the
-    shares by kind. All are 0 for a null or blank text."""
+    shares by kind; distinct_share is the mean over stretches of STRETCH words, each
+    as heavy as it is long. All are 0 for a null or blank text."""
     if not text or not text.strip():
         return (0.0,) * len(STATS)
     rows = text.split("\n")
@@ -185,7 +189,7 @@ def statistics(text: str | None, common: frozenset[str], skip: frozenset[int] |
     n = max(1, len(words))
     return (
         float(len(words)), sum(map(len, words)) / n, len(_SYMBOL.findall(text)) / solid, sum(map(bool, map(_END.search, full))) / len(full),
-        sum(map(common.__contains__, words)) / n, len(set(words[:400])) / max(1, min(400, len(words))), chars["list"] / total, chars["table"] / total, chars["junk"] / total, float(sum(chars.values())),
+        sum(map(common.__contains__, words)) / n, sum(len(set(words[k : k + STRETCH])) for k in range(0, len(words), STRETCH)) / n, chars["list"] / total, chars["table"] / total, chars["junk"] / total, float(sum(chars.values())),
     )
 
 
