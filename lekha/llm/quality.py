@@ -10,6 +10,7 @@ examples also tell which components are prose, lists, tables or junk.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,6 +68,9 @@ _SOLID = re.compile(r"[^\W_ऀ-ॿ]|[ऀ-ॿ]")
 _PLAIN = re.compile(r"[A-Za-z“‘\"'][A-Za-z0-9 .,:!?'\"%()“”‘’–—-]*(?:;[A-Za-z0-9 .,:!?'\"%()“”‘’–—-]*)?$|[ऀ-ॿ][ऀ-ॿ0-9 ,.?!–-]*$")
 _RULE = re.compile(r"[-|:=_*+.\s]+$")
 
+#: Of SPAN words in a row under a share FEW are different where the same few words
+#: come again and again.
+SPAN, FEW = 80, 0.25
 #: Words of a stretch whose share of different words is taken.
 STRETCH = 400
 
@@ -79,12 +83,56 @@ def _cells(line: str) -> tuple[str, int, float]:
         if mark in line:
             cells = line.strip().strip("|").split(mark) if mark != "  " else re.split(r"\s{2,}", line.strip())
             if len(cells) > 2 or mark == "|" and len(cells) > 1:
+                if any(len(c.split()) > 6 for c in cells):
+                    continue
                 share = sum(bool(_CELL.match(c)) for c in cells) / len(cells)
-                if max(len(c.split()) for c in cells) <= 6 and (share, len(cells)) > (best[2], best[1]):
+                if (share, len(cells)) > (best[2], best[1]):
                     best = (mark, len(cells), share)
     return best
 
 
+def _again(rows: list[str], whole: bool) -> list[int]:
+    """Lines, by number, of which over half of the words come again within SPAN words in
+    a row that are the same few again and again. Unless ``whole``, the words must also stand
+    in a row without the end of a sentence."""
+    found: dict[int, int] = {}
+    words: list[str] = []
+    owner: list[int] = []
+    sizes = [0] * len(rows)
+
+    def judge() -> None:
+        n, size = len(words), min(SPAN, len(words))
+        count = Counter(words[:size])
+        end = 0
+        for at in range(n - size + 1):
+            if at:
+                out = words[at - 1]
+                count[words[at + size - 1]] += 1
+                count[out] -= 1
+                if not count[out]:
+                    del count[out]
+            if len(count) < FEW * size and (whole or n >= SPAN):
+                # Of ordinary words next to the repeated ones, a window holds most once.
+                for k in range(max(at, end), at + size):
+                    if n <= SPAN or count[words[k]] > 1:
+                        found[owner[k]] = found.get(owner[k], 0) + 1
+                end = at + size
+        words.clear()
+        owner.clear()
+
+    for i, row in enumerate(rows):
+        for k, piece in enumerate([row] if whole else _STOP.split(row)):
+            if k:
+                judge()
+            mine = [w.lower() for w in _WORD.findall(piece)]
+            words += mine
+            owner += [i] * len(mine)
+            sizes[i] += len(mine)
+    judge()
+    every = sum(found.values()) == sum(sizes) > 0
+    return [i for i, n in enumerate(sizes) if 2 * found.get(i, 0) > n or every]
+
+
 def line_kinds(rows: list[str], common: frozenset[str]) -> list[str]:
     """Kind of each line: prose, list, table, junk, or "" for headings and blanks."""
     n = len(rows)
@@ -97,7 +145,7 @@ def line_kinds(rows: list[str], common: frozenset[str]) -> list[str]:
             continue
         size = len(s)
         plain = _PLAIN.match(s)
-        if "|" in s or "\t" in s or ";" in s or "  " in s or s.count(",") > 1 and len(s) < 400:
+        if "|" in s or "\t" in s or ";" in s or "  " in s or s.count(",") > 1:
             shape[i] = _cells(line)
         if plain and size > 60 and shape[i][1] == 1 and s[1:2] not in ").":
             free.append(i)
@@ -139,15 +187,23 @@ def line_kinds(rows: list[str], common: frozenset[str]) -> list[str]:
         stops = [bool(_STOP.search(rows[i])) for i in run]
         sizes = [rows[i].count(" ") + 1 for i in run]
         # Words without a sentence: hardly any mark or common word, or the same few words again and again.
-        if sum(sizes) >= 15 and sum(len(_STOP.findall(rows[i])) for i in run) * 80 < sum(sizes):
+        parts = _STOP.split("\n".join(rows[i] for i in run)) if sum(sizes) >= 15 else []
+        if parts and (len(parts) - 1) * SPAN < sum(sizes):
             flat = [w.lower() for i in run for w in _WORD.findall(rows[i])]
             known = sum(map(common.__contains__, flat)) / max(1, len(flat))
             marks = sum(rows[i].count(c) for i in run for c in ".,;:!?।")
-            if len(set(flat[:80])) < 0.25 * len(flat[:80]) or known < 0.06 and marks * 40 < len(flat) and max(sizes) > 9:
+            if known < 0.06 and marks * 40 < len(flat) and max(sizes) > 9:
                 for i in run:
                     kinds[i] = "junk"
                 continue
+            for k in _again([rows[i] for i in run], True):
+                kinds[run[k]] = "junk"
+        elif any(p.count(" ") + p.count("\n") >= SPAN - 1 for p in parts):
+            for k in _again([rows[i] for i in run], False):
+                kinds[run[k]] = "junk"
         for k, i in enumerate(run):
+            if kinds[i]:
+                continue
             s = rows[i].strip()
             after = rows[run[k + 1]].lstrip()[:1] if k + 1 < len(run) else ""
             opens = not k or stops[k - 1] and _END.search(rows[run[k - 1]]) or run[k - 1] in titles[-1:]
