@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 
-from lekha.llm import mixing, passages
+from lekha.llm import mixing, overlap, passages
 
 VOCABULARY = [f"word{i}" for i in range(300)]
 
@@ -62,3 +62,10 @@ def test_a_source_that_may_give_nothing_leaves_the_others(spark):
         got = {r.source: (r.tokens, r.share) for r in mixing.shares(docs, mix, mixing.select(docs, mix)).collect()}
         assert got["c"][0] == 0
         assert got["a"] == got["b"] == (300, 0.5)
+
+
+def test_edits_on_rare_words_are_edits():
+    frame = ["discuss", "the", "role", "of", "in", "india"]
+    texts = [[*frame, *[f"rare{i}{c}" for c in "abcd"]] for i in range(40)]
+    changed = [*texts[0][:-2], "one", "two"]
+    assert overlap.Segments([((i,), t) for i, t in enumerate(texts)]).matches([changed, [*frame, "rare0a", "x", "y", "z"]]) == [(0, 0)]
