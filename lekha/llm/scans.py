@@ -3,8 +3,10 @@
 Each file is read once: running lines and page numbers are told from text lines,
 and the words of text lines and the breaks at line ends come out. The words of all
 files make the vocabulary. Readings of a suspicious word are retrieved by a join on
-positional character bigrams, and gradient-boosted trees, fitted to known words
-that were misread on purpose, choose one or none. Pairs of lines are judged by two
+positional character bigrams, the rarest of each word, and gradient-boosted trees,
+fitted to known words that were misread on purpose at the rates that the corpus
+shows, choose one or none. Counts are only compared with counts, so a larger corpus
+of the same kind gives the same answer. Pairs of lines are judged by two
 more such models: whether two lines are one running line, and whether the end of
 one line and the start of the next are one word.
 """
@@ -26,8 +28,17 @@ from lekha.session import broadcast_if_small, cut, hash_sample
 
 #: Usual misreadings (right, read); what the corpus shows is added.
 MISREAD = (("e", "c"), ("i", "l"), ("t", "f"), ("l", "1"), ("s", "5"), ("n", "ri"), ("o", "0"), ("d", "cl"), ("u", "ii"), ("m", "rn"), ("g", "9"), ("h", "b"), ("b", "6"), ("li", "h"), ("w", "vv"), ("rn", "m"), ("fi", "ﬁ"), ("fl", "ﬂ"), ("ff", "ﬀ"), ("ffi", "ﬃ"), ("ffl", "ﬄ"), ("i", "1"), ("b", "8"), ("z", "2"))
-#: A misread form has at most this share of the right form's count, and three more.
-MOST = 0.03
+#: A right form occurs at least so many times as often as one misread form of it.
+TIMES = 2
+#: For the fit, a word that may be a misread form is none if it is not so many times rarer.
+RARER = 10
+#: A reading shares at least this much of the different bigrams of either word.
+SHARED = 0.35
+#: A misreading that the corpus shows is one of at least this share of the words that
+#: differ from a right form in one place.
+SHOWN = 0.005
+#: The rates of one misreading differ between words by about this much, as a logarithm.
+SPREAD = 1.5
 #: Files that a task takes apart at a time.
 FILES = 64
 #: Two lines that differ in a larger share of their letters are not one running line.
@@ -54,6 +65,8 @@ _DIGIT = str.maketrans("OolI|SsBZzGgqbi", "001115582269961"[:15])
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 
 
+#: More letters and digits than any style of page number has.
+_FULL = re.compile(r"(?:[\W_]*[^\W_]){25}")
 _NUMBERED = re.compile(rf"^\W*{_D}{{1,4}}\s{{2,}}|\s{{2,}}{_D}{{1,4}}\W*$|^\W*\d{{1,4}}\W+|\W+\d{{1,4}}\W*$")
 
 
@@ -148,7 +161,7 @@ class Page:
         found: dict[str, list[tuple[int, int | None]]] = defaultdict(list)
         for i, r in enumerate(self.rows):
             s = r.strip(" \t\r\x0c\u00a0\u200b\ufeff")
-            if self.kinds[i] != "text" or len(s) > 24:
+            if self.kinds[i] != "text" or len(s) > 24 and _FULL.match(s):
                 continue
             for style, rx in _STYLES.items():
                 m = rx.match(s)
@@ -193,14 +206,14 @@ class Page:
         return out
 
     def candidates(self) -> list[int]:
-        """Lines that may be running lines: short, not like the middle of a text."""
+        """Lines that may be running lines: not like the middle of a text."""
         if self._candidates is None:
             self._candidates = []
             for i, r in enumerate(self.rows):
-                if self.kinds[i] != "text" or len(r) > 120:
+                if self.kinds[i] != "text":
                     continue
                 s = letters(r)
-                if 2 < len(s) <= 90 and len(s.split()) <= 12 and s[-1] not in ".;,:!?।-\u00ac\u00ad\u2010" and not s[0].islower() and len(_LETTER.findall(s)) > 0.6 * (len(s) - s.count(" ")) and not _CAPTION.match(s):
+                if len(s) > 2 and s[-1] not in ".;,:!?।-\u00ac\u00ad\u2010" and not s[0].islower() and len(_LETTER.findall(s)) > 0.6 * (len(s) - s.count(" ")) and not _CAPTION.match(s):
                     self._candidates.append(i)
         return [i for i in self._candidates if self.kinds[i] == "text"]
 
@@ -327,13 +340,11 @@ def misread_line(text: str, rng: np.random.Generator, times: int, table: tuple[t
 
 
 class Readings:
-    """Costs of misreadings and the model that chooses a reading."""
+    """Costs of misreadings, each the logarithm of one over its rate, and the model that
+    chooses a reading. ``lost`` is the cost of a letter that became U+FFFD."""
 
-    def __init__(self, costs: dict[tuple[str, str], float], model: Boosted | None = None) -> None:
-        self.costs, self.model = costs, model
-        self.by_end: dict[str, list[tuple[str, str, float]]] = defaultdict(list)
-        for (a, b), v in costs.items():
-            self.by_end[b[-1:]].append((a, b, v))
+    def __init__(self, costs: dict[tuple[str, str], float], lost: float = 7.0, model: Boosted | None = None) -> None:
+        self.costs, self.lost, self.model = costs, lost, model
 
     def explain(self, right: str, read: str, most: int = 3) -> tuple[float, int] | None:
         """Least cost and number of misreadings that make ``read`` of ``right``."""
@@ -353,7 +364,7 @@ class Readings:
                 if i < n and j < m and right[i] == read[j]:
                     self._put(best, (i + 1, j + 1), here)
                 if i < n and j < m and read[j] == "�":
-                    self._put(best, (i + 1, j + 1), (here[0] + 2.0, here[1] + 1))
+                    self._put(best, (i + 1, j + 1), (here[0] + self.lost, here[1] + 1))
                 for (a, b), v in self.costs.items():
                     if right.startswith(a, i) and read.startswith(b, j):
                         self._put(best, (i + len(a), j + len(b)), (here[0] + v, here[1] + 1))
@@ -364,59 +375,84 @@ class Readings:
         if at not in best or value < best[at]:
             best[at] = value
 
-    def features(self, read: str, right: str, n_read: int, n_right: int, shared: int) -> list[float] | None:
+    def features(self, read: str, right: str, n_read: int, n_right: int) -> list[float] | None:
+        """Features of a reading; none where ``right`` can't be read as ``read``."""
         how = self.explain(right, read)
         if how is None or not how[1]:
             return None
+        shared, least = shared_grams(read, right)
+        if shared < least:
+            return None
         odd = sum(c in ODD or c.isdigit() for c in read)
-        return [how[0], float(how[1]), math.log1p(n_right), math.log((n_right + 0.5) / (n_read + 0.5)), float(len(right)), shared / (len(read) + 1), float(odd), float(len(read) - len(right))]
-
+        ratio = math.log(n_read / n_right)
+        # The last: how often the form occurs against how often it would be made of the right one.
+        return [how[0], float(how[1]), math.log(n_right), ratio, float(len(right)), shared / (len(read) + 1), float(odd), float(len(read) - len(right)), ratio + how[0]]
 
-def grams(word: str) -> list[tuple[str, int]]:
-    """Character bigrams of a word with its edges, and their places."""
-    w = f"^{word}$"
-    return [(w[i : i + 2], i) for i in range(len(w) - 1)]
 
+def shared_grams(read: str, right: str) -> tuple[int, int]:
+    """Different bigrams, edges included, that two words share within two places, and
+    how many they must share at least."""
+    a, b = (defaultdict(list), defaultdict(list))
+    for w, at in ((f"^{read}$", a), (f"^{right}$", b)):
+        for i in range(len(w) - 1):
+            at[w[i : i + 2]].append(i)
+    shared = sum(any(abs(i - j) <= 2 for i in at for j in b.get(g, ())) for g, at in a.items())
+    return shared, math.ceil(SHARED * max(len(a), len(b)))
 
-def shared_grams(read: str, right: str) -> int:
-    r = defaultdict(list)
-    for g, i in grams(right):
-        r[g].append(i)
-    return sum(any(abs(i - j) <= 2 for j in r.get(g, ())) for g, i in grams(read))
 
-
-def fit_readings(words: list[tuple[str, int]], costs: dict[tuple[str, str], float]) -> Readings:
+def fit_readings(words: list[tuple[str, int]], costs: dict[tuple[str, str], float], lost: float) -> Readings:
     """The model of readings, fitted to a bounded sample of the vocabulary (word,
-    count): each word misread on purpose is to be read as itself and as no other,
-    and each word as it stands as no other."""
-    readings = Readings(costs)
+    count): words misread on purpose, as often as the rates say, are to be read as
+    themselves and as no other. Words as they stand, rarer than they are too, are no
+    misreadings, nor are made-up words that look like one and occur as often as some
+    word of the sample."""
+    readings = Readings(costs, lost)
     rng = np.random.default_rng(2)
     index: dict[tuple[str, int], list[int]] = defaultdict(list)
     for k, (w, _) in enumerate(words):
-        for g, i in grams(w):
-            for d in (-1, 0, 1):
-                index[g, i + d].append(k)
+        for g in {(f"^{w}$"[i : i + 2], i + d) for i in range(len(w) + 1) for d in (-1, 0, 1)}:
+            index[g].append(k)
     x, y = [], []
+    table = list(costs)
 
-    def candidates(read: str) -> Counter:
+    def candidates(read: str) -> list[int]:
         found: Counter = Counter()
-        for g in grams(read):
-            found.update(index.get(g, ()))
-        return Counter({k: v for k, v in found.items() if v >= 0.35 * (len(read) + 1) and abs(len(words[k][0]) - len(read)) <= 2})
-
-    table = tuple(costs)
-    for k, (w, n) in enumerate(words):
-        if len(w) < 2:
-            continue
-        for read, own, seen in ((misread_line(w, rng, 1, table), k, max(1, int(n * 0.02 * rng.random()))), (misread_line(w, rng, 2, table), k, 1), (w, -1, n)):
-            if own >= 0 and read == w:
-                continue
-            for c, s in candidates(read).most_common(40):
-                if words[c][0] != read and (f := readings.features(read, words[c][0], seen, words[c][1], s)):
-                    x.append(f)
-                    y.append(float(c == own))
+        for i in range(len(read) + 1):
+            found.update(index.get((f"^{read}$"[i : i + 2], i), ()))
+        return [k for k, v in found.most_common(60) if v >= SHARED * (len(read) + 1) and abs(len(words[k][0]) - len(read)) <= 2]
+
+    def show(read: str, own: int, n: int) -> None:
+        for c in candidates(read):
+            if words[c][0] != read and words[c][1] >= TIMES * n and (f := readings.features(read, words[c][0], n, words[c][1])):
+                x.append(f)
+                y.append(float(c == own))
+
+    def misread(w: str, times: int) -> tuple[str, float]:
+        """A word misread so many times, more often in the usual ways, and the cost."""
+        total = 0.0
+        for _ in range(times):
+            fits = [(m.start(), a, b, costs[a, b]) for a, b in table for m in re.finditer(re.escape(a), w)] + [(i, c, "�", lost) for i, c in enumerate(w)]
+            weight = np.exp(-np.array([f[3] for f in fits]) / 2)
+            at, a, b, cost = fits[rng.choice(len(fits), p=weight / weight.sum())]
+            w, total = w[:at] + b + w[at + len(a) :], total + cost
+        return w, total
+
+    # Right words are those that are no rare form of a word that they can be read as. A
+    # small vocabulary is gone through several times.
+    right = [k for k, (w, n) in enumerate(words) if len(w) > 1 and not any(words[c][1] >= RARER * n and readings.features(w, words[c][0], n, words[c][1]) for c in candidates(w))]
+    for k in right * max(1, 1000 // max(1, len(right))):
+        w, n = words[k]
+        for times in (1, 1, 1, 1, 2, 2):
+            read, cost = misread(w, times)
+            if read != w:
+                show(read, k, max(1, int(rng.poisson(min(n / TIMES, n * math.exp(SPREAD * rng.standard_normal() - cost))))))
+        show(w, -1, n)
+        show(w, -1, max(1, int(n ** rng.random())))
+        read, _ = misread(w, 1)
+        if rng.random() < 0.4 and read != w:
+            show(read, -1, words[right[int(rng.integers(len(right)))]][1])
     if len(set(y)) > 1:
-        readings.model = Boosted(rounds=40, depth=3).fit(np.array(x), np.array(y))
+        readings.model = Boosted(rounds=60, depth=4).fit(np.array(x), np.array(y))
     return readings
 
 
@@ -450,7 +486,7 @@ class Scans:
     def __init__(self, files: DataFrame, key: str = "file_id", text: str = "md_text", pages: str = "n_pages", sample: int = 300) -> None:
         spark = files.sparkSession
         self.key = key
-        src = files.select(F.col(key).alias("file_id"), F.col(text).cast("string").alias("text"), F.col(pages).cast("int").alias("n_pages")).filter("text IS NOT NULL AND file_id IS NOT NULL").distinct()
+        src = files.select(F.col(key).alias("file_id"), F.col(text).cast("string").alias("text"), F.col(pages).cast("int").alias("n_pages")).filter("text IS NOT NULL AND file_id IS NOT NULL")
         self.kind = src.schema[0].dataType.simpleString()
         some = sorted((r.text, r.n_pages or 0) for r in hash_sample(src, ["file_id"], sample).collect())
         same = spark.sparkContext.broadcast(fit_same_line(some))
@@ -478,58 +514,92 @@ class Scans:
         self.compounds = cut(self.pages.select(F.explode("compounds").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
         self._readings()
 
+    def _often(self, words: DataFrame, sample: int) -> list[tuple[str, int]]:
+        """About ``sample`` words (word, n) at most, each the more likely the more often
+        it occurs; the share of misread forms is that which they have of the text."""
+        total = words.agg(F.sum("n")).first()[0] or 1
+        bound = F.col("n") * (sample / total * (1 << 40))
+        return sorted((r.word, r.n) for r in words.filter(F.pmod(F.xxhash64("word"), F.lit(1 << 40)) < bound).select("word", "n").collect())
+
+    def _pairs(self, read: DataFrame, right: DataFrame) -> DataFrame:
+        """word, n, right, n_right of words that may be a misread form and its reading:
+        they share enough bigrams, and the reading is TIMES as frequent or more.
+
+        Words that share so many of their different bigrams share one of the rarest of
+        each, so only these are joined and the lists of frequent bigrams are not.
+        """
+        word = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
+        places = F.sequence(F.lit(1), F.length("word") + 1)
+        every = lambda df: df.withColumn("g", F.array_distinct(F.transform(places, lambda i: F.substr(word, i, F.lit(2)))))
+        often = broadcast_if_small(cut(every(right).select(F.explode("g").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("often"))))
+
+        def rarest(df: DataFrame) -> DataFrame:
+            one = every(df).select("word", "n", F.explode("g").alias("g")).join(often, "g", "left").groupBy("word", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "g"))).alias("g"))
+            size = F.size("g")
+            first = F.slice("g", F.lit(1), size - F.ceil(size * SHARED).cast("int") + 1)
+            return one.select("word", "n", F.explode(first).alias("x")).select("word", "n", F.col("x.g").alias("g")).select("word", "n", "g", F.explode(F.filter(places, lambda i: F.substr(word, i, F.lit(2)) == F.col("g"))).alias("at"))
+
+        a = rarest(read)
+        b = rarest(right).select(F.col("word").alias("right"), F.col("n").alias("n_right"), "g", F.explode(F.sequence(F.col("at") - 2, F.col("at") + 2)).alias("at"))
+        close = (F.col("n_right") >= TIMES * F.col("n")) & (F.abs(F.length("word") - F.length("right")) <= 2) & (F.col("word") != F.col("right"))
+        return a.join(b, ["g", "at"]).filter(close).select("word", "n", "right", "n_right").distinct()
+
     def _readings(self, sample: int = 3000) -> None:
         """Corrections (word, right) of misread words of the vocabulary."""
         # Words that are broken at a line's end are read whole.
         broken = self.pages.select(F.explode("breaks").alias("b")).select(F.concat("b.l", "b.r").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
         v = self.vocabulary.unionByName(broken.join(self.vocabulary.select("word"), "word", "left_anti")).filter(F.length("word") >= 2)
-        right = self.vocabulary.filter(F.length("word") >= 2).filter(F.col("n") >= 3).filter(F.col("word").rlike(r"^\p{L}[\p{L}\p{M}]+$"))
+        right = self.vocabulary.filter(F.length("word") >= 2).filter(F.col("word").rlike(r"^\p{L}[\p{L}\p{M}]+$"))
         # Suspicious: anything but numbers, and with letters in the main.
         read = v.filter(F.regexp_count("word", F.lit(r"\p{L}|[�]")) * 2 >= F.length("word"))
-        cells = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.struct(F.substr(F.concat(F.lit("^"), w, F.lit("$")), i, F.lit(2)).alias("g"), i.alias("at")))
-        a = read.select("word", "n", F.explode(cells(F.col("word"))).alias("c")).select("word", "n", "c.g", "c.at")
-        b = right.select(F.col("word").alias("right"), F.col("n").alias("n_right"), F.explode(cells(F.col("word"))).alias("c"))
-        b = b.select("right", "n_right", F.col("c.g").alias("g"), F.explode(F.sequence(F.col("c.at") - 2, F.col("c.at") + 2)).alias("at"))
-        # One misreading of a word is rare against the word: MOST of its count, or a few.
-        close = (F.col("n") <= 3 + MOST * F.col("n_right")) & (F.col("n_right") >= 2 * F.col("n")) & (F.abs(F.length("word") - F.length("right")) <= 2) & (F.col("word") != F.col("right"))
-        pairs = a.join(b, ["g", "at"]).filter(close).groupBy("word", "right").agg(F.countDistinct("g", "at").alias("shared"), F.first("n").alias("n"), F.first("n_right").alias("n_right"))
-        pairs = cut(pairs.filter(F.col("shared") >= F.ceil((F.length("word") + 1) * 0.35)))
-        costs = self._costs(pairs)
-        words = sorted((r.word, r.n) for r in hash_sample(right.filter("n >= 8"), ["word"], sample).collect())
-        readings = self.vocabulary.sparkSession.sparkContext.broadcast(fit_readings(words, costs))
+        pairs = cut(self._pairs(read, right))
+        costs, lost = self._costs(pairs)
+        readings = self.vocabulary.sparkSession.sparkContext.broadcast(fit_readings(self._often(right, sample), costs, lost))
 
         def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-                got = [(r, f) for r in rows if (f := readings.value.features(r[0], r[1], r[3], r[4], r[2]))]
+                got = [(r, f) for r in rows if (f := readings.value.features(r[0], r[1], r[2], r[3]))]
                 model = readings.value.model
                 p = model.probability(np.array([f for _, f in got])) if got and model else np.zeros(len(got))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r, _ in got], pa.string()), pa.array([r[1] for r, _ in got], pa.string()), pa.array(p, pa.float64())], names=["word", "right", "p"])
 
-        scored = pairs.select("word", "right", "shared", "n", "n_right").mapInArrow(choose, "word string, right string, p double").filter("p >= 0.5")
-        self.corrections = cut(scored.groupBy("word").agg(F.max_by("right", F.struct("p", "right")).alias("right")))
-
-    def _costs(self, pairs: DataFrame) -> dict[tuple[str, str], float]:
-        """Costs of misreadings: the usual ones, and those that the corpus shows in
-        many words (their counts, not their words, come to the driver)."""
+        scored = cut(pairs.select("word", "right", "n", "n_right").mapInArrow(choose, "word string, right string, p double").filter("p >= 0.5"))
+        # A reading that is misread itself stands for what it is read as.
+        wrong = scored.select(F.col("word").alias("right")).distinct()
+        marked = scored.join(wrong.withColumn("wrong", F.lit(True)), "right", "left")
+        best = cut(marked.groupBy("word").agg(F.max_by("right", F.struct(F.col("wrong").isNull(), "p", "right")).alias("right")))
+        again = best.select(F.col("word").alias("right"), F.col("right").alias("then"))
+        self.corrections = cut(best.join(again, "right", "left").select("word", F.coalesce("then", "right").alias("right")))
+
+    def _costs(self, pairs: DataFrame) -> tuple[dict[tuple[str, str], float], float]:
+        """Costs of misreadings, the usual ones and those that the corpus shows in many
+        words, and of lost letters: how often each occurs against how often it could
+        (counts of letters, not words, come to the driver)."""
         w, r = F.col("word"), F.col("right")
         same = F.reduce(F.sequence(F.lit(1), F.least(F.length(w), F.length(r))), F.lit(0), lambda k, i: F.when((k == i - 1) & (F.substr(w, i, F.lit(1)) == F.substr(r, i, F.lit(1))), i).otherwise(k))
         x = pairs.filter(F.col("n_right") >= 20 * F.col("n")).withColumn("p", same)
         rest = lambda c: F.substr(c, F.col("p") + 1, F.length(c))
         x = x.withColumns({"a": rest(r), "b": rest(w)})
         back = F.reduce(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length("a"), F.length("b")))), F.lit(0), lambda k, i: F.when((k == i - 1) & (F.substr(F.reverse("a"), i, F.lit(1)) == F.substr(F.reverse("b"), i, F.lit(1))) & (i <= F.least(F.length("a"), F.length("b"))), i).otherwise(k))
-        x = x.withColumn("q", back).select("right", F.substr("a", F.lit(1), F.length("a") - F.col("q")).alias("a"), F.substr("b", F.lit(1), F.length("b") - F.col("q")).alias("b"))
-        x = x.filter("length(a) BETWEEN 1 AND 2 AND length(b) BETWEEN 1 AND 2 AND NOT contains(b, '�')")
-        seen = x.groupBy("a", "b").agg(F.countDistinct("right").alias("n")).filter("n >= 8").orderBy(F.desc("n")).limit(60).collect()
-        total = sum(s.n for s in seen) + len(MISREAD)
-        costs = dict.fromkeys(MISREAD, math.log(total))
-        for s in seen:
-            # Letters that differ between words of one pattern are no misreadings: these have look-alikes on one side or occur in step with a usual one.
-            if (s.a, s.b) in costs:
-                costs[s.a, s.b] = math.log(total / s.n)
-            elif any(c.isdigit() or c in ODD for c in s.b) or s.n * 20 > total:
-                costs[s.a, s.b] = math.log(total / s.n) + 1
-        return costs
+        x = x.withColumn("q", back).select("right", "n", F.substr("a", F.lit(1), F.length("a") - F.col("q")).alias("a"), F.substr("b", F.lit(1), F.length("b") - F.col("q")).alias("b"))
+        x = x.filter("length(a) BETWEEN 1 AND 3 AND length(b) BETWEEN 1 AND 2 AND NOT contains(b, '�')")
+        x = cut(x.groupBy("a", "b").agg(F.countDistinct("right").alias("n"), F.sum("n").alias("times")))
+        every = x.agg(F.sum("n")).first()[0] or 0
+        usual = F.concat("a", F.lit(">"), "b").isin([f"{a}>{b}" for a, b in MISREAD])
+        # At most one over SHOWN pairs have such a share, so what comes here is bounded.
+        seen = {(s.a, s.b): s for s in x.filter(usual | (F.col("n") >= SHOWN * every)).collect()}
+        total = sum(s.n for s in seen.values()) + len(MISREAD)
+        # Letters that differ between words of one pattern are no misreadings: these have look-alikes on one side or make a large share.
+        shown = [k for k, s in seen.items() if k not in MISREAD and (any(c.isdigit() or c in ODD for c in k[1]) or s.n * 20 > total)]
+        long = self.vocabulary.filter(F.col("word").rlike(r"^\p{L}[\p{L}\p{M}]+$"))
+        table = [*MISREAD, *shown]
+        could = long.agg(*[F.sum(F.col("n") * (F.length("word") - F.length(F.replace("word", F.lit(a), F.lit("")))) / len(a)).alias(f"c{k}") for k, (a, _) in enumerate(table)], F.sum(F.col("n") * F.length("word"))).first()
+        gone = self.vocabulary.agg(F.sum(F.col("n") * F.regexp_count("word", F.lit("�")))).first()[0] or 0
+        # Few occurrences weigh less than a thousand places with two misreadings.
+        rate = lambda times, places: min(0.5, (times + 2) / ((places or 0) + 1000))
+        costs = {k: -math.log(rate(seen[k].times if k in seen else 0, could[i])) for i, k in enumerate(table)}
+        return costs, -math.log(rate(gone, could[len(table)]))
 
     def misread(self) -> DataFrame:
         """file_id, line_no, word and right of misread words in text lines. Words with
@@ -550,8 +620,8 @@ class Scans:
         keys = F.array(F.col("l"), F.col("r"), F.concat("l", "r"), F.concat("l", F.lit("-"), "r"))
         asked = b.select("l", "r").distinct().select("l", "r", F.posexplode(keys).alias("role", "word"))
         known = asked.join(broadcast_if_small(fixed), "word", "left").groupBy("l", "r").agg(*[F.coalesce(F.max(F.when(F.col("role") == k, F.col("n"))), F.lit(0)).alias(c) for k, c in enumerate(("n_l", "n_r", "n_joined", "n_pair"))])
-        words = dict(sorted((r.word, r.n) for r in hash_sample(self.vocabulary.filter("n >= 5"), ["word"], sample).collect() if r.word.isalpha()))
-        pairs = dict(sorted((r.word, r.n) for r in hash_sample(self.compounds, ["word"], sample).collect()))
+        words = {w: n for w, n in self._often(self.vocabulary, sample) if w.isalpha()}
+        pairs = dict(self._often(self.compounds, sample))
         for c in pairs:
             for part in c.split("-", 1):
                 words.setdefault(part, 5)

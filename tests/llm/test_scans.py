@@ -66,6 +66,49 @@ def test_marks_of_made_up_files(spark):
         assert len(a & b) >= least * len(a), kind
 
 
+@pytest.mark.parametrize("files", [40, 200, 800])
+def test_recall_of_misread_words_does_not_fall_with_size(spark, files):
+    r = random.Random(files)
+    rows, want = [], set()
+    for f in range(files):
+        text, marks = page_file(r, 3, f"{r.choice(WORDS).title()} And {r.choice(WORDS).title()}")
+        rows.append((f, text, 3))
+        want |= {(f, i) for i, kind in marks if kind == "misread"}
+    got = {(x.file_id, x.line_no) for x in scans.scan_marks(spark.createDataFrame(rows, "file_id long, md_text string, n_pages int")).filter("kind = 'misread'").collect()}
+    assert len(got & want) >= 0.95 * len(want)
+    assert len(got & want) >= 0.95 * len(got)
+
+
+def test_copies_of_files_change_nothing(spark):
+    r = random.Random(3)
+    rows = [(f, page_file(r, 3, "Harvest And Treaty")[0], 3) for f in range(30)]
+    count = []
+    for times in (1, 5, 20):
+        df = spark.createDataFrame([(1000 * t + f, text, n) for t in range(times) for f, text, n in rows], "file_id long, md_text string, n_pages int")
+        count.append(scans.scan_marks(df).filter("kind = 'misread'").count() / times)
+    assert max(count) - min(count) <= 0.05 * max(count)
+
+
+def test_candidates_by_rarest_bigrams_are_all_that_share_enough(spark):
+    r = random.Random(5)
+    words = {"".join(r.choice("abcde") for _ in range(r.randint(3, 9))): r.randint(1, 400) for _ in range(400)} | {"aaaa": 9, "aaaab": 90, "abababab": 7, "bababab": 80}
+    df = spark.createDataFrame(list(words.items()), "word string, n long")
+    got = {(x.word, x.right) for x in scans.Scans._pairs(None, df, df).collect()}
+    for a, n in words.items():
+        for b, m in words.items():
+            shared, least = scans.shared_grams(a, b)
+            if a != b and m >= scans.TIMES * n and abs(len(a) - len(b)) <= 2 and shared >= least:
+                assert (a, b) in got
+
+
+def test_long_running_lines_and_wide_page_numbers_are_seen():
+    title = "Proceedings Of The Standing Committee On Harbours, Tariffs And Coastal Settlements, Held In The Second Session Of The Council At Tarapur"
+    text = f"{title}\nx y z.\n-              12              -\n{title}\nq r s.\n-              13              -"
+    page = scans.Page(text, 2)
+    page.running(None)
+    assert page.kinds == ["running", "text", "page_no"] * 2
+
+
 def test_empty_table(spark):
     assert scans.scan_marks(spark.createDataFrame([], "file_id long, md_text string, n_pages int")).count() == 0
 
