@@ -4,7 +4,8 @@ Statistics are taken line by line in Arrow batches, lines that recur within the
 source aside. A Gaussian mixture is fitted to the standardised statistics of all
 documents by expectation-maximisation, each step one pass that sends only sums
 over components. It starts from the statistics of inspected examples, and the
-examples also tell which components are prose, lists, tables or junk.
+examples also tell which components are prose, lists, tables or junk. A document is
+what its likeliest components are.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lekha.llm import lines
-from lekha.session import COLLECT_ROWS, cut
+from lekha.session import COLLECT_ROWS, cut, join_same, small
 
 KINDS = ("prose", "list", "table", "junk")
 
@@ -134,7 +135,8 @@ def _again(rows: list[str], whole: bool) -> list[int]:
 
 
 def line_kinds(rows: list[str], common: frozenset[str]) -> list[str]:
-    """Kind of each line: prose, list, table, junk, or "" for headings and blanks."""
+    """Kind of each line: prose, list, table, junk, or "" for headings, blanks and a
+    few marks alone."""
     n = len(rows)
     kinds = [""] * n
     shape: list[tuple[str, int, float]] = [("", 1, 0.0)] * n
@@ -144,6 +146,9 @@ def line_kinds(rows: list[str], common: frozenset[str]) -> list[str]:
         if not s:
             continue
         size = len(s)
+        # A few marks are nothing by themselves.
+        if size < 8 and s[0] != "|" and not any(map(str.isalnum, s)):
+            continue
         plain = _PLAIN.match(s)
         if "|" in s or "\t" in s or ";" in s or "  " in s or s.count(",") > 1:
             shape[i] = _cells(line)
@@ -230,7 +235,7 @@ def line_kinds(rows: list[str], common: frozenset[str]) -> list[str]:
 def statistics(text: str | None, common: frozenset[str], skip: frozenset[int] | set[int] = frozenset()) -> tuple[float, ...]:
     """STATS of one text; lines whose identifier is in ``skip`` are set aside for the
     shares by kind; distinct_share is the mean over stretches of STRETCH words, each
-    as heavy as it is long. All are 0 for a null or blank text."""
+    as heavy as it is long; n_body counts the characters of lines that have a kind. All are 0 for a null or blank text."""
     if not text or not text.strip():
         return (0.0,) * len(STATS)
     rows = text.split("\n")
@@ -245,7 +250,7 @@ def statistics(text: str | None, common: frozenset[str], skip: frozenset[int] |
     n = max(1, len(words))
     return (
         float(len(words)), sum(map(len, words)) / n, len(_SYMBOL.findall(text)) / solid, sum(map(bool, map(_END.search, full))) / len(full),
-        sum(map(common.__contains__, words)) / n, sum(len(set(words[k : k + STRETCH])) for k in range(0, len(words), STRETCH)) / n, chars["list"] / total, chars["table"] / total, chars["junk"] / total, float(sum(chars.values())),
+        sum(map(common.__contains__, words)) / n, sum(len(set(words[k : k + STRETCH])) for k in range(0, len(words), STRETCH)) / n, chars["list"] / total, chars["table"] / total, chars["junk"] / total, float(sum(chars.values()) - chars[""]),
     )
 
 
@@ -261,42 +266,52 @@ def line_id(line: str) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def stats(docs: DataFrame, common: DataFrame, recurring: DataFrame | None = None, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+def stats(docs: DataFrame, common: DataFrame, recurring: DataFrame | None = None, key: str = "doc_id", source: str = "source", text: str = "text", collect_rows: int = COLLECT_ROWS) -> DataFrame:
     """``key`` and STATS of every row's whole text.
 
     ``common`` has the common words (a word list: over 100,000 rows are an error),
-    ``recurring`` the recurring lines of each source (source, line_id). Of each
-    source there are at most as many as fit into twenty rows of it, so they are
-    collected, and over COLLECT_ROWS are an error. Null and blank texts give zeros;
+    ``recurring`` the recurring lines of each source (source, line_id). Up to
+    ``collect_rows`` of these go out to the workers; more are joined to the lines of
+    the texts, and only their numbers to the texts. Null and blank texts give zeros;
     null keys, ties and repeated rows stay, one row out for each in.
     """
     words = [r.word for r in common.select("word").distinct().limit(100_001).collect() if r.word]
     if len(words) > 100_000:
         raise ValueError("stats: more than 100,000 common words")
+    src = docs.select(F.col(key).alias(key), F.col(source).alias("source"), F.col(text).cast("string").alias("text"))
     gone: dict[str | None, set[int]] = {}
-    if recurring is not None:
-        rows = recurring.limit(COLLECT_ROWS + 1).collect()
-        if len(rows) > COLLECT_ROWS:
-            raise ValueError("stats: too many recurring lines")
-        for r in rows:
+    if recurring is not None and small(recurring, collect_rows):
+        for r in recurring.collect():
             gone.setdefault(r.source, set()).add(r.line_id)
+    elif recurring is not None:
+        # Equal texts of one source have the same lines, whatever their keys.
+        same = src.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(7), "text")})
+        at = same.dropDuplicates(["source", "h1", "h2"]).select("source", "h1", "h2", F.explode(lines.line_ids(F.col("text"))).alias("line_id")).filter("line_id <> 0")
+        at = join_same(at, recurring.select("source", "line_id"), ["source", "line_id"], "left_semi").groupBy("source", "h1", "h2").agg(F.collect_set("line_id").alias("gone"))
+        src = join_same(same, at, ["source", "h1", "h2"], "left").select(key, "source", "text", "gone")
     shared = docs.sparkSession.sparkContext.broadcast((frozenset(w.lower() for w in words), gone))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, skip = shared.value
         for b in batches:
-            out = [statistics(t, known, skip.get(s, frozenset())) for s, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            own = b.column(3).to_pylist() if b.num_columns > 3 else [None] * b.num_rows
+            out = [statistics(t, known, set(g) if g else skip.get(s, frozenset())) for s, t, g in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), own, strict=True)]
             table = np.array(out, dtype=np.float64).reshape(-1, len(STATS))
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(table[:, k]) for k in range(len(STATS))]], names=[key, *STATS])
 
-    src = docs.select(F.col(key).alias(key), F.col(source).alias("source"), F.col(text).cast("string").alias("text"))
     return src.mapInArrow(run, f"`{key}` {src.schema[0].dataType.simpleString()}, " + ", ".join(f"{c} double" for c in STATS))
 
 
+#: How steeply the shares by kind rise about one half.
+STEEP = 0.05
+
+
 def _features(table: np.ndarray) -> np.ndarray:
-    """FEATURES from columns of STATS."""
+    """FEATURES from columns of STATS: words as a logarithm, and each share by kind as
+    how surely it is over one half, since a document is of the kind of its greater part."""
     out = table[:, : len(FEATURES)].copy()
     out[:, 0] = np.log1p(out[:, 0])
+    out[:, -3:] = 1 / (1 + np.exp((0.5 - out[:, -3:]) / STEEP))
     return out
 
 
@@ -325,10 +340,10 @@ class Mixture:
 
 
 def fit(table: DataFrame, common: frozenset[str], rounds: int = 10, floor: float = 0.05) -> Mixture:
-    """The mixture of all rows of ``table`` that have words. Variances don't go
+    """The mixture of all rows of ``table`` that are not blank. Variances don't go
     below ``floor``, in units of the whole corpus's variance."""
-    some = table.filter("n_words > 0")
-    columns = [F.log1p("n_words"), *[F.col(c) for c in FEATURES[1:]]]
+    some = table.filter("n_body > 0")
+    columns = [F.log1p("n_words"), *[F.col(c) for c in FEATURES[1:-3]], *[1 / (1 + F.exp((0.5 - F.col(c)) / STEEP)) for c in FEATURES[-3:]]]
     row = some.agg(F.count(F.lit(1)), *[F.avg(c) for c in columns], *[F.stddev_pop(c) for c in columns]).first()
     d = len(FEATURES)
     n = row[0]
@@ -372,26 +387,18 @@ def fit(table: DataFrame, common: frozenset[str], rounds: int = 10, floor: float
     return Mixture(centre, scale, weight, mean, var, kinds)
 
 
-def classify(table: DataFrame, mixture: Mixture, key: str = "doc_id", least: float = 1e-4) -> DataFrame:
-    """``key``, kind and probability of each document that is no natural prose.
-
-    The mixture proposes kinds (a probability of ``least`` or more); a proposal
-    holds where more than half of the document's characters stand in lines of the
-    kind. Documents without words in readable letters have no words but may be
-    junk; blank ones are nothing.
-    """
+def classify(table: DataFrame, mixture: Mixture, key: str = "doc_id") -> DataFrame:
+    """``key``, kind and probability of each document that is no natural prose: the
+    kind to whose components it most likely belongs. Blank ones are nothing."""
     shared = table.sparkSession.sparkContext.broadcast(mixture)
-    share = {"list": STATS.index("list_share"), "table": STATS.index("table_share"), "junk": STATS.index("junk_share")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.stack([b.column(1 + i).to_numpy() for i in range(len(STATS))], 1) if b.num_rows else np.zeros((0, len(STATS)))
             p = shared.value.by_kind(x)
-            held = np.stack([(p[:, KINDS.index(k)] >= least) & (x[:, at] > 0.5) for k, at in share.items()], 1) & (x[:, -1:] > 0)
-            at = np.flatnonzero(held.any(1))
-            which = held[at].argmax(1)
-            names = list(share)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array([names[w] for w in which], pa.string()), pa.array(p[at, [KINDS.index(names[w]) for w in which]] if len(at) else [], pa.float64())], names=[key, "kind", "probability"])
+            which = p.argmax(1)
+            at = np.flatnonzero((which != KINDS.index("prose")) & (x[:, -1] > 0))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array([KINDS[w] for w in which[at]], pa.string()), pa.array(p[at, which[at]], pa.float64())], names=[key, "kind", "probability"])
 
     src = table.select(key, *STATS)
     return src.mapInArrow(run, f"`{key}` {src.schema[0].dataType.simpleString()}, kind string, probability double")
