@@ -8,13 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lekha.session import cut
+from lekha.session import BROADCAST_ROWS, COLLECT_ROWS, broadcast_if_small, cut
 
-#: Membership patterns that the driver takes. Beyond that, a pattern is reduced to
-#: its two sources with the fewest tokens, which leaves at most one per pair.
-PATTERNS = 20_000
-#: Ranges of the seeded order of one pattern's documents.
-RANGES = 4096
+#: Texts in a range of the seeded order of one pattern's documents, on average.
+RANGE_ROWS = 10_000
 
 
 class Flow:
@@ -112,9 +109,10 @@ def plan(patterns: list[tuple[tuple[str, ...], int]], mix: dict[str, dict], tota
     """Quotas of the sources and the flow that fills them.
 
     Shares are scaled to sum to one over the sources that have a share and
-    tokens; one whose cap or repeats allow none counts as without. Without ``total_tokens`` the total is the largest at which every
-    source reaches its share exactly. With it, a source that cannot reach its
-    share gives what it has.
+    tokens; one whose cap or repeats allow none counts as without. Without
+    ``total_tokens`` the total is the largest at which every source reaches its share
+    exactly. With it, a source whose cap or repeats don't allow its share of that total
+    gives what they allow, and the others aren't held back by it.
     """
     supply: dict[str, int] = {}
     for sources, tokens in patterns:
@@ -159,7 +157,8 @@ def fitted(used: DataFrame, texts: DataFrame, quotas: dict[str, int], hard: set[
     gaps = [(s, int(q - got.get(s, 0)), s in hard) for s, q in sorted(quotas.items()) if q != got.get(s, 0)]
     if not gaps:
         return used
-    gap = F.broadcast(used.sparkSession.createDataFrame(gaps, "source string, gap bigint, hard boolean"))
+    gap = used.sparkSession.createDataFrame(gaps, "source string, gap bigint, hard boolean")
+    gap = F.broadcast(gap) if len(gaps) <= BROADCAST_ROWS else gap
     fresh = texts.filter("size(sources) = 1").select("h1", "h2", F.col("sources")[0].alias("source"), "n_tokens").join(gap.filter("gap > 0"), "source")
     # Added whole, a text may pass the gap by less than half of itself.
     fresh = fresh.filter((F.col("n_tokens") <= F.col("gap")) | ~F.col("hard") & (F.col("n_tokens") < 2 * F.col("gap"))).join(used.select("h1", "h2").distinct(), ["h1", "h2"], "left_anti")
@@ -171,9 +170,14 @@ def fitted(used: DataFrame, texts: DataFrame, quotas: dict[str, int], hard: set[
     return changed.groupBy("h1", "h2", "source", "n_tokens").agg(F.sum("repeats").alias("repeats")).filter("repeats > 0")
 
 
-def select(docs: DataFrame, mix: DataFrame, seed: int = 1, total_tokens: int | None = None, key: str = "doc_id") -> DataFrame:
+def select(docs: DataFrame, mix: DataFrame, seed: int = 1, total_tokens: int | str | None = None, key: str = "doc_id") -> DataFrame:
     """The documents that make up the mix: doc_id, source, n_tokens and repeats.
 
+    ``total_tokens`` is the size of the mix: a number; ``"corpus"``, the tokens of the
+    different texts of all sources that have a share, so that the mix grows with the
+    corpus, small sources are repeated, and what a source can't reach is its shortfall
+    (see ``shares``); or none, the largest size at which no source has a shortfall.
+
     A text that stands in several sources may count for any of them, and its
     copies within one source count once (the smallest key stands for it). Each
     pattern's texts are put in a seeded order; its flow takes them in that order,
@@ -190,26 +194,30 @@ def select(docs: DataFrame, mix: DataFrame, seed: int = 1, total_tokens: int | N
     rules = {r.source: r.asDict() for r in settings(mix).limit(100_001).collect()}
     if len(rules) > 100_000:
         raise ValueError("select: more than 100,000 sources in the mix")
-    texts = cut(contents(docs))
-    by = texts.groupBy("sources").agg(F.sum("n_tokens").alias("tokens"))
-    found = by.limit(PATTERNS + 1).collect()
-    if len(found) > PATTERNS:
-        spark = docs.sparkSession
-        per = {r.s: r.t for r in texts.select(F.explode("sources").alias("s"), "n_tokens").groupBy("s").agg(F.sum("n_tokens").alias("t")).collect()}
-        rank = spark.createDataFrame([(s, k) for k, s in enumerate(sorted(per, key=lambda s: (s not in rules, per[s])))], "s string, k int")
-        two = texts.select("h1", "h2", F.explode("sources").alias("s")).join(F.broadcast(rank), "s").groupBy("h1", "h2").agg(F.array_sort(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("k", "s"))), 1, 2), lambda x: x["s"])).alias("sources"))
-        texts = cut(texts.drop("sources").join(two, ["h1", "h2"]))
-        found = texts.groupBy("sources").agg(F.sum("n_tokens").alias("tokens")).collect()
+    # Only sources that have a share can use a text, so only these make a pattern.
+    wanted = sorted(s for s, m in rules.items() if (m["target_share"] or 0) > 0)
+    spark = docs.sparkSession
+    named = broadcast_if_small(spark.createDataFrame([(s,) for s in wanted], "source string"))
+    texts = cut(contents(docs.join(named, "source")))
+    # One row for each set of sources that occurs.
+    found = texts.groupBy("sources").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).limit(COLLECT_ROWS + 1).collect()
+    if len(found) > COLLECT_ROWS:
+        raise ValueError("select: too many sets of sources")
+    ranges = max(16, -(-sum(r.n for r in found) // RANGE_ROWS))
     patterns = sorted((tuple(r.sources), int(r.tokens)) for r in found)
-    quotas, flow = plan(patterns, rules, total_tokens)
+    quotas, flow = plan(patterns, rules, sum(t for _, t in patterns) if total_tokens == "corpus" else total_tokens)
     spans = []
     start: dict[int, int] = {}
+    given = dict.fromkeys(quotas, 0)
     for (p, s), n in sorted(flow.items()):
         spans.append((list(patterns[p][0]), patterns[p][1], s, start.get(p, 0), start.get(p, 0) + n, rules[s]["cap_tokens"] is not None))
         start[p] = start.get(p, 0) + n
-    spans_df = docs.sparkSession.createDataFrame(spans, "sources array<string>, all_tokens bigint, source string, lo bigint, hi bigint, hard boolean")
+        given[s] += n
+    spans_df = spark.createDataFrame(spans, "sources array<string>, all_tokens bigint, source string, lo bigint, hi bigint, hard boolean")
+    if len(spans) <= BROADCAST_ROWS:
+        spans_df = F.broadcast(spans_df)
     order = F.xxhash64("h1", "h2", F.lit(seed))
-    placed = texts.withColumn("u", order).withColumn("bucket", F.pmod(F.shiftright("u", 40), F.lit(RANGES)))
+    placed = texts.withColumn("u", order).withColumn("bucket", F.pmod(F.shiftrightunsigned("u", 24), F.lit(ranges)))
     starts = placed.groupBy("sources", "bucket").agg(F.sum("n_tokens").alias("tokens")).withColumn("before", F.coalesce(F.sum("tokens").over(W.partitionBy("sources").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("tokens")
     inside = F.coalesce(F.sum("n_tokens").over(W.partitionBy("sources", "bucket").orderBy("u", "h1", "h2").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     x = placed.withColumn("inside", inside).join(starts, ["sources", "bucket"]).withColumn("x", F.col("before") + F.col("inside"))
@@ -218,20 +226,26 @@ def select(docs: DataFrame, mix: DataFrame, seed: int = 1, total_tokens: int | N
     first = F.when(F.col("hard"), F.col("x")).otherwise(F.col("x") + F.floor(F.col("n_tokens") / 2)).cast("bigint")
     last = F.when(F.col("hard"), F.col("x") + F.col("n_tokens") - 1).otherwise(F.col("x") + F.floor(F.col("n_tokens") / 2)).cast("bigint")
     below = lambda bound, point: F.greatest(F.lit(0), F.ceil((F.col(bound) - point) / F.col("all_tokens"))).cast("bigint")
-    used = x.join(F.broadcast(spans_df), "sources").withColumn("repeats", below("hi", last) - below("lo", first)).filter("repeats > 0")
-    used = fitted(cut(used.select("h1", "h2", "source", "n_tokens", "repeats")), texts, quotas, {s for s in quotas if rules[s]["cap_tokens"] is not None})
+    used = x.join(spans_df, "sources").withColumn("repeats", below("hi", last) - below("lo", first)).filter("repeats > 0")
+    used = fitted(cut(used.select("h1", "h2", "source", "n_tokens", "repeats")), texts, given, {s for s in quotas if rules[s]["cap_tokens"] is not None})
     named = docs.filter("n_tokens > 0").groupBy("h1", "h2", "source").agg(F.min("doc_id").alias("doc_id"))
     return used.select("h1", "h2", "source", "n_tokens", "repeats").join(named, ["h1", "h2", "source"]).select("doc_id", "source", "n_tokens", "repeats")
 
 
 def shares(docs: DataFrame, mix: DataFrame, selected: DataFrame) -> DataFrame:
     """Per source of the documents or of the mix: its target share, its tokens (as
-    they stand and without copies), and the tokens and the share that the
-    selection gives it."""
+    they stand and without copies), the tokens and the share that the selection gives
+    it, and its shortfall: by how much its share misses the target, scaled to sum to
+    one over the sources that have documents. ``missing`` marks sources that are not
+    optional and have no documents."""
     have = docs.filter("source IS NOT NULL").groupBy("source", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("n_tokens").alias("t")).groupBy("source").agg(F.sum(F.col("n") * F.col("t")).alias("source_tokens"), F.sum("t").alias("unique_tokens"))
     got = selected.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.count(F.lit(1)).alias("n_docs"), F.max("repeats").alias("most_repeats"))
     out = settings(mix).join(have, "source", "full").join(got, "source", "left")
     every = W.partitionBy(F.lit(1))  # one row per source: a table of settings
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
-    out = out.select("source", "target_share", "max_repeat", F.col("cap_tokens").cast("bigint").alias("cap_tokens"), zero("source_tokens"), zero("unique_tokens"), zero("tokens"), zero("n_docs"), zero("most_repeats"))
-    return out.withColumn("share", F.round(F.try_divide(F.col("tokens").cast("double"), F.sum("tokens").over(every)), 6))
+    missing = F.coalesce(F.col("target_share") > 0, F.lit(False)) & F.col("source_tokens").isNull() & ~F.coalesce("optional", F.lit(False))
+    out = out.select("source", "target_share", "max_repeat", F.col("cap_tokens").cast("bigint").alias("cap_tokens"), zero("source_tokens"), zero("unique_tokens"), zero("tokens"), zero("n_docs"), zero("most_repeats"), missing.alias("missing"))
+    scaled = F.when((F.col("target_share") > 0) & (F.col("source_tokens") > 0), F.col("target_share"))
+    share = F.try_divide(F.col("tokens").cast("double"), F.sum("tokens").over(every))
+    short = F.greatest(F.lit(0.0), F.coalesce(scaled / F.sum(scaled).over(every), F.lit(0.0)) - F.coalesce(share, F.lit(0.0)))
+    return out.withColumns({"share": F.round(share, 6), "shortfall": F.round(short, 6)})

@@ -73,12 +73,12 @@ def p4_removed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_selection(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.select(_sized(spark, d), table(spark, d, "source_mix"))
+    return mixing.select(_sized(spark, d), table(spark, d, "source_mix"), total_tokens="corpus")
 
 
 def p5_shares(spark: SparkSession, d: str) -> DataFrame:
     docs, mix = _sized(spark, d), table(spark, d, "source_mix")
-    return mixing.shares(docs, mix, mixing.select(docs, mix))
+    return mixing.shares(docs, mix, mixing.select(docs, mix, total_tokens="corpus"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
