@@ -67,6 +67,10 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+#: The tokenizer that is meant where none is named.
+USUAL = "byte_bpe_50k"
+
+
 class _Merged(dict):
     """Piece to its ids as int32 bytes; fills itself."""
 
@@ -106,7 +110,7 @@ def _with_broadcast(df: DataFrame, name: str, folder: str | None, pattern: str =
     return lambda: Encoder(ranks.value, pattern)
 
 
-def encode(df: DataFrame, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str | None = None, out: str = "ids") -> DataFrame:
+def encode(df: DataFrame, key: str = "doc_id", text: str = "text", name: str = USUAL, folder: str | None = None, out: str = "ids") -> DataFrame:
     """``key`` and the list of token ids of ``text``, without special tokens, of
     every row.
 
@@ -131,7 +135,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", name: str = "
     return src.mapInArrow(run, f"`{key}` {src.schema[0].dataType.simpleString()}, `{out}` array<int>")
 
 
-def decode(df: DataFrame, key: str = "doc_id", ids: str = "ids", name: str = "byte_bpe_50k", folder: str | None = None, out: str = "text") -> DataFrame:
+def decode(df: DataFrame, key: str = "doc_id", ids: str = "ids", name: str = USUAL, folder: str | None = None, out: str = "text") -> DataFrame:
     """``key`` and the text of ``ids``: the tokens' bytes put together and read as
     UTF-8, with U+FFFD for what is none. An empty or null list gives an empty
     text; an id outside the vocabulary is an error."""
@@ -147,7 +151,7 @@ def decode(df: DataFrame, key: str = "doc_id", ids: str = "ids", name: str = "by
     return src.mapInArrow(run, f"`{key}` {src.schema[0].dataType.simpleString()}, `{out}` string")
 
 
-def count(df: DataFrame, text: str = "text", name: str = "byte_bpe_50k", folder: str | None = None, out: str = "n_tokens", keep: tuple[str, ...] = ()) -> DataFrame:
+def count(df: DataFrame, text: str = "text", name: str = USUAL, folder: str | None = None, out: str = "n_tokens", keep: tuple[str, ...] = ()) -> DataFrame:
     """The columns ``keep`` of every row and its number of tokens, 0 for a null or
     empty text."""
     encoder = _with_broadcast(df, name, folder)

@@ -139,6 +139,8 @@ def pack(items: DataFrame, targets: DataFrame, key: str = "doc_id", size: str =
     if not sizes:
         return spark.createDataFrame([], schema).drop("is_open")
     types = spark.createDataFrame([], schema).toArrow().schema
+    # Sizes may be dear to compute, and are counted before they are packed.
+    src = cut(src)
     parts = max(1, -(-src.count() // part_rows))
 
     def shared(df: DataFrame, n: int, order: list[str]) -> DataFrame:

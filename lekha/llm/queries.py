@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,12 +104,11 @@ def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     targets = table(spark, d, "pack_targets")
-    names = sorted(r.tokenizer for r in targets.select("tokenizer").distinct().limit(100).collect() if r.tokenizer)
+    # A container without a tokenizer is measured in tokens of the usual one.
+    targets = targets.withColumn("tokenizer", F.coalesce("tokenizer", F.lit(bpe.USUAL)))
+    names = sorted(r.tokenizer for r in targets.select("tokenizer").distinct().collect()) or [bpe.USUAL]
     docs = table(spark, d, "documents", "doc_id", "text")
-    out = [packing.pack(bpe.count(docs, name=n, keep=("doc_id",)), targets.filter(F.col("tokenizer") == n)) for n in names]
-    for more in out[1:]:
-        out[0] = out[0].unionByName(more)
-    return out[0]
+    return reduce(DataFrame.unionByName, [packing.pack(bpe.count(docs, name=n, keep=("doc_id",)), targets.filter(F.col("tokenizer") == n)) for n in names])
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
