@@ -9,25 +9,28 @@ from lekha.functions.text import bind, tokens
 from lekha.session import cut
 
 
+def _ends(rows: DataFrame, same: list[str], order: list[str], pick) -> DataFrame:
+    rest = [c for c in rows.columns if c not in same]
+    end = rows.groupBy(*same).agg(pick(F.struct(*order, *[c for c in rest if c not in order])).alias("__end"))
+    return end.select(*[F.col(c) if c in same else F.col(f"__end.{c}").alias(c) for c in rows.columns])
+
+
 def keep_first(rows: DataFrame, same: list[str], order: list[str]) -> DataFrame:
-    """Of rows with equal ``same``, that which is first by ``order``; ``order`` must
-    tell rows apart. Nulls in ``same`` are equal, nulls in ``order`` come first.
+    """Of rows with equal ``same``, that which is first by ``order``; of ties the one
+    with the smallest content. Nulls in ``same`` are equal, nulls in ``order`` come
+    first.
 
-    The first is found by a minimum, which is partly computed before the shuffle,
-    so one value may hold any share of the rows; a window would bring its rows
-    into one task. Empty tables give an empty result.
+    The first is found by a minimum over whole rows, which is partly computed before
+    the one shuffle, so one value may hold any share of the rows; a window would
+    bring its rows into one task. Empty tables give an empty result.
     """
-    first = rows.groupBy(*[F.col(c).alias(f"__{c}") for c in same]).agg(F.min(F.struct(*order)).alias("__first"))
-    on = [F.col(f"__first.{c}").eqNullSafe(F.col(c)) for c in order] + [F.col(f"__{c}").eqNullSafe(F.col(c)) for c in same]
-    return rows.join(first, on, "left_semi")
+    return _ends(rows, same, order, F.min)
 
 
 def keep_last(rows: DataFrame, same: list[str], order: list[str]) -> DataFrame:
     """Of rows with equal ``same``, that which is last by ``order``; of ties the one
     with the largest content. All columns are kept, none is shuffled but once."""
-    rest = [c for c in rows.columns if c not in same]
-    last = rows.groupBy(*same).agg(F.max(F.struct(*order, *[c for c in rest if c not in order])).alias("__last"))
-    return last.select(*[F.col(c) if c in same else F.col(f"__last.{c}").alias(c) for c in rows.columns])
+    return _ends(rows, same, order, F.max)
 
 
 def duplicated(rows: DataFrame, same: list[str]) -> DataFrame:

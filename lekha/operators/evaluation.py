@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from lekha.functions import special
+from lekha.operators.ordered import later_min, running_sum
+from lekha.session import broadcast_if_small, cut
 
 #: Metrics of which less is better, and metrics that are 0 or 1.
 LOWER_IS_BETTER = ("latency_ms", "format_fail", "abstains", "share_repeated")
@@ -28,22 +30,23 @@ def means(long: DataFrame) -> DataFrame:
 
 def bootstrap(long: DataFrame, group: list[str], n: int = 1000, seed: int = 20260514) -> DataFrame:
     """Mean and percentile interval (2.5 to 97.5) of each group's mean over ``n``
-    resamples. One weight row a value and resample would not scale, so resampling
-    is by Poisson weights inside Arrow batches: sums of weights and of weighted
-    values per group and resample are all that is shuffled, and any group may be
-    spread over all tasks. Seeds come from the row's question, so results repeat."""
-    x = long.filter(F.col("value").isNotNull() & ~F.isnan("value")).select(*group, "value", F.xxhash64(F.lit(seed), "question_id", *group).alias("s"))
+    resamples. One weight row a value and resample would not scale, so equal values
+    of a group are counted first, and k of them get Poisson weights of mean k inside
+    Arrow batches: sums of weights and of weighted values per group and resample are
+    all that is shuffled, and any group may be spread over all tasks. Seeds come from
+    group and value, so results repeat."""
+    x = long.filter(F.col("value").isNotNull() & ~F.isnan("value")).groupBy(*group, "value").agg(F.count(F.lit(1)).alias("k")).select(*group, "value", "k", F.xxhash64(F.lit(seed), "value", *group).alias("s"))
 
     def sums(batches):
         for pdf in batches:
             rows = []
             for key, part in pdf.groupby(group, dropna=False):
                 w, v = np.zeros(n), np.zeros(n)
-                for value, s in zip(part["value"], part["s"], strict=True):
-                    k = np.random.default_rng(s & 0xFFFFFFFFFFFFFFFF).poisson(1.0, n)
-                    w += k
-                    v += k * value
-                rows.append((*(key if isinstance(key, tuple) else (key,)), len(part), float(part["value"].sum()), w.tolist(), v.tolist()))
+                for value, k, s in zip(part["value"], part["k"], part["s"], strict=True):
+                    drawn = np.random.default_rng(s & 0xFFFFFFFFFFFFFFFF).poisson(k, n)
+                    w += drawn
+                    v += drawn * value
+                rows.append((*(key if isinstance(key, tuple) else (key,)), int(part["k"].sum()), float((part["value"] * part["k"]).sum()), w.tolist(), v.tolist()))
             yield pd.DataFrame(rows, columns=[*group, "n", "total", "w", "v"])
 
     kinds = ", ".join(f"{g} {long.schema[g].dataType.simpleString()}" for g in group)
@@ -147,13 +150,14 @@ def paired_tests(paired: DataFrame, by: list[str], least: int = 5) -> DataFrame:
 def false_discovery(tests: DataFrame, p: str, out: str) -> DataFrame:
     """Benjamini-Hochberg q-values over all rows: p m / rank, then the least of all
     later ones, at most 1. Null p counts as 1. Equal p share the last rank, so the
-    family is reduced to its different p-values, which are few."""
+    family is reduced to its different p-values; ranks and least values are carried
+    along them in ranges, and none but a checked number is broadcast."""
     x = tests.withColumn("__p", F.coalesce(p, F.lit(1.0)))
-    n = x.groupBy("__p").agg(F.count(F.lit(1)).alias("k"))
-    up, down = W.orderBy("__p"), W.orderBy(F.desc("__p"))
-    q = n.withColumn("rank", F.sum("k").over(up.rowsBetween(W.unboundedPreceding, 0))).withColumn("m", F.sum("k").over(W.partitionBy(F.lit(1))))
-    q = q.withColumn("q", F.least(F.lit(1.0), F.min(F.col("__p") * F.col("m") / F.col("rank")).over(down.rowsBetween(W.unboundedPreceding, 0)))).select(F.col("__p").alias("__v"), F.col("q").alias(out))
-    return x.join(F.broadcast(q), F.col("__p") == F.col("__v")).drop("__p", "__v")
+    n = cut(x.groupBy("__p").agg(F.count(F.lit(1)).alias("k")))
+    m = n.agg(F.sum("k")).first()[0] or 0
+    ranked = running_sum(n, ["__p"], "k", "__before").withColumn("__q", F.col("__p") * m / (F.col("__before") + F.col("k")))
+    q = later_min(ranked, "__p", "__q", out).select(F.col("__p").alias("__v"), F.least(F.lit(1.0), out).alias(out))
+    return x.join(broadcast_if_small(q), F.col("__p") == F.col("__v")).drop("__p", "__v")
 
 
 def weighted_kappa(rows: DataFrame, group: list[str], a: str, b: str) -> DataFrame:

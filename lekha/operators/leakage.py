@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lekha.functions.text import SPACE, bind, digest, one_line, tokens, word_count
-from lekha.session import broadcast_if_small
+from lekha.session import broadcast_if_small, cut, join_same
 
 #: Widths of the word n-grams, and least words of a hashed text.
 WIDTHS, HASH_WORDS = (25, 50), 8
 
+#: Words of a probe: a run of n words holds such a piece at every n - PROBE + 1 places.
+PROBE = 8
+
 #: Fields of a payload that are compared.
 FIELDS = ("question", "question_text", "answer_text", "model_answer", "source_text", "explanation")
 
@@ -20,10 +23,11 @@ def fields(payload: Column) -> Column:
     return F.filter(F.array(*[F.get_json_object(payload, f"$.{f}") for f in FIELDS]), lambda x: x.isNotNull() & (F.regexp_replace(x, f"{SPACE}+", "") != ""))
 
 
-def gram_hashes(text: Column, n: int) -> Column:
-    """Different 64-bit hashes of the runs of ``n`` loose tokens."""
+def gram_hashes(text: Column, n: int, step: int = 1, least: int | None = None) -> Column:
+    """Different 64-bit hashes of the runs of ``n`` loose tokens that begin at every
+    ``step``-th token; none for texts of fewer than ``least`` (or ``n``) tokens."""
     none = F.array().cast("array<bigint>")
-    return bind(tokens(text), lambda t: F.when(F.size(t) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.xxhash64(F.slice(t, i, n))))).otherwise(none))
+    return bind(tokens(text), lambda t: F.when(F.size(t) >= (least or n), F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(t) - n + 1, F.lit(step)), lambda i: F.xxhash64(F.slice(t, i, n))))).otherwise(none))
 
 
 class EvalIndex:
@@ -43,9 +47,19 @@ class EvalIndex:
 
     def gram_hits(self, corpus: DataFrame, key: str, text: str = "text", n: int = WIDTHS[0]) -> DataFrame:
         """(qid, key) of every text that shares ``n`` words in a row with an evaluation
-        text. The evaluation side is broadcast up to a checked size."""
-        own = corpus.select(key, F.explode(gram_hashes(F.col(text), n)).alias("g"))
-        return own.join(broadcast_if_small(self.grams(n), 2_000_000), "g").select("qid", key).distinct()
+        text.
+
+        Such a run holds a piece of PROBE words that begins at one of every n - PROBE + 1
+        places of the text, so these few pieces are looked up first among all pieces of
+        the evaluation texts. Only texts with a hit are taken apart word by word. No hit
+        is lost. The evaluation side is broadcast up to a checked size.
+        """
+        least = min(PROBE, n)
+        pieces = cut(self.texts.filter(F.size(tokens(F.col("text"))) >= n).select(F.explode(gram_hashes(F.col("text"), least)).alias("g")).distinct())
+        probes = corpus.select(key, F.explode(gram_hashes(F.col(text), least, n - least + 1, n)).alias("g"))
+        some = cut(probes.join(broadcast_if_small(pieces, 2_000_000), "g", "left_semi").select(key).distinct())
+        own = join_same(corpus, some, [key], "left_semi", 200_000).select(key, F.explode(gram_hashes(F.col(text), n)).alias("g"))
+        return own.join(broadcast_if_small(cut(self.grams(n)), 2_000_000), "g").select("qid", key).distinct()
 
     def purge(self, corpus: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
         """``corpus`` without the texts that a hash or n-gram hit names."""

@@ -26,10 +26,28 @@ def running_sum(rows: DataFrame, order: list[str], value: str, out: str = "befor
     return ranges.withColumn("__inside", inside).join(F.broadcast(starts), "__part").withColumn(out, F.col("__start") + F.col("__inside")).drop("__part", "__inside", "__start")
 
 
-def group_running_sum(rows: DataFrame, group: str, order: list[str], value: str, out: str = "before", ranges: int = 256) -> DataFrame:
+def later_min(rows: DataFrame, order: str, value: str, out: str, parts: int = 0) -> DataFrame:
+    """``rows`` with the least ``value`` of themselves and all later rows of the whole
+    table, by ranges as in ``running_sum``."""
+    n = parts or max(1, rows.sparkSession.sparkContext.defaultParallelism)
+    ranges = cut(rows.repartitionByRange(n, order).withColumn("__part", F.spark_partition_id()))
+    least = ranges.groupBy("__part").agg(F.min(value).alias("__least"))
+    # One row per range.
+    after = least.withColumn("__after", F.min("__least").over(W.orderBy("__part").rowsBetween(1, W.unboundedFollowing))).drop("__least")
+    inside = F.min(value).over(W.partitionBy("__part").orderBy(order).rowsBetween(W.currentRow, W.unboundedFollowing))
+    return ranges.withColumn("__inside", inside).join(F.broadcast(after), "__part").withColumn(out, F.least("__inside", "__after")).drop("__part", "__inside", "__after")
+
+
+#: Rows of a range of a group's order, on average over the whole table.
+RANGE_ROWS = 20_000
+
+
+def group_running_sum(rows: DataFrame, group: str, order: list[str], value: str, out: str = "before", ranges: int | None = None) -> DataFrame:
     """``rows`` with the sum of ``value`` over the earlier rows of their group. A
-    group of any size is spread over ``ranges`` ranges of a hash of its order,
-    which here must begin with a column of hash digits (hexadecimal)."""
+    group of any size is spread over ``ranges`` ranges (else as many as the table has
+    RANGE_ROWS rows) of a hash of its order, which here must begin with a column of
+    hash digits (hexadecimal)."""
+    ranges = ranges or min(1 << 20, max(16, -(-rows.select(group).count() // RANGE_ROWS)))
     bucket = F.pmod(F.conv(F.substring(order[0], 1, 8), 16, 10).cast("bigint"), F.lit(1 << 32))
     x = rows.withColumn("__b", F.floor(bucket / ((1 << 32) // ranges)))
     sums = x.groupBy(group, "__b").agg(F.sum(value).alias("__sum"))

@@ -8,6 +8,7 @@ from lekha.functions import text as T
 from lekha.operators import dedup, leakage, ordered, sampling
 from lekha.plans.registry import register
 from lekha.plans.text import _STRIP, _TOKENS, S
+from lekha.session import broadcast_if_small
 from lekha.sources import table
 
 #: Sources in the order in which copies are kept.
@@ -29,7 +30,7 @@ def _paras(spark, d):
 _P = f"(SELECT doc_id, prio, dst_path, para_no, t, sha256(lower(trim(regexp_replace(t, '{S}+', ' ', 'g')))) AS h FROM (SELECT doc_id, prio, dst_path, CAST(para_no AS INT) AS para_no, {_STRIP.replace('{0}', 't')} AS t FROM (SELECT doc_id, {_PRIO} AS prio, dst_path, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS para_no FROM documents WHERE text IS NOT NULL)) WHERE t <> '')"
 
 register("or02_source_priority", lambda s, d: table(s, d, "documents", "doc_id", "source").select("doc_id", _prio().alias("prio")), f"SELECT doc_id, CAST({_PRIO} AS BIGINT) AS prio FROM documents")
-register("dd01_paragraph_dedup", lambda s, d: dedup.keep_first(_paras(s, d), ["h"], ["prio", "dst_path", "para_no"]).select("doc_id", "para_no"), f"SELECT doc_id, para_no FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY prio, dst_path, para_no) AS k FROM {_P}) WHERE k = 1")
+register("dd01_paragraph_dedup", lambda s, d: dedup.keep_first(_paras(s, d).drop("t"), ["h"], ["prio", "dst_path", "para_no"]).select("doc_id", "para_no"), f"SELECT doc_id, para_no FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY prio, dst_path, para_no) AS k FROM {_P}) WHERE k = 1")
 register("wi01_rejoined", lambda s, d: dedup.keep_first(_paras(s, d), ["h"], ["prio", "dst_path", "para_no"]).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("para_no", "t"))).alias("p")).select("doc_id", F.size("p").alias("paras"), F.sha2(F.array_join(F.transform("p", lambda x: x["t"]), "\n\n"), 256).alias("sha")), f"SELECT doc_id, CAST(count(*) AS INT) AS paras, sha256(string_agg(t, chr(10) || chr(10) ORDER BY para_no)) AS sha FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY prio, dst_path, para_no) AS k FROM {_P}) WHERE k = 1 GROUP BY doc_id")
 register("ag10_dedup_counters", lambda s, d: _paras(s, d).groupBy("prio").agg(F.count(F.lit(1)).alias("paras_in"), F.countDistinct("h").alias("different"), F.countDistinct("doc_id").alias("docs")), f"SELECT CAST(prio AS BIGINT) AS prio, count(*) AS paras_in, count(DISTINCT h) AS different, count(DISTINCT doc_id) AS docs FROM {_P} GROUP BY prio")
 
@@ -126,7 +127,7 @@ register("or09_fraction", lambda s, d: sampling.fraction(table(s, d, "documents"
 
 def _repeated(s, d):
     mix = table(s, d, "source_mix", "source", "repeat")
-    return sampling.repeat(table(s, d, "documents", "doc_id", "source").join(F.broadcast(mix), "source"), "doc_id", "repeat").select("doc_id", "rep_no")
+    return sampling.repeat(table(s, d, "documents", "doc_id", "source").join(broadcast_if_small(mix), "source"), "doc_id", "repeat").select("doc_id", "rep_no")
 
 
 register("or10_repeats", _repeated, "SELECT doc_id, CAST(rep_no AS INT) AS rep_no FROM (SELECT doc_id, unnest(range(CAST(floor(t) AS BIGINT) + CASE WHEN CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR) || '#' || CAST(CAST(floor(t) AS INT) AS VARCHAR)), 1, 8) AS BIGINT) / 4294967295.0 < t - floor(t) THEN 1 ELSE 0 END)) AS rep_no FROM (SELECT doc_id, CASE WHEN isnan(coalesce(repeat, 1)) THEN NULL ELSE coalesce(repeat, 1) END AS t FROM documents JOIN source_mix USING (source)))")

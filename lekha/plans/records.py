@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lekha.plans.registry import register
+from lekha.session import broadcast_if_small
 from lekha.sources import table
 
 
@@ -36,7 +37,7 @@ def _budgeted_mix(s, d):
     p = table(s, d, "pack_stats", "model", "source", "packed_at", "run_id", "per_source_tokens").filter("packed_at IS NOT NULL")
     last = p.groupBy("model", "source").agg(F.max(F.struct("packed_at", "run_id", "per_source_tokens")).alias("x"))
     mix = table(s, d, "source_mix", "source", "cap_tokens")
-    return last.join(F.broadcast(mix), "source").select("model", "source", F.col("x.per_source_tokens").alias("tokens"), (F.col("x.per_source_tokens") > F.col("cap_tokens")).alias("over"))
+    return last.join(broadcast_if_small(mix), "source").select("model", "source", F.col("x.per_source_tokens").alias("tokens"), (F.col("x.per_source_tokens") > F.col("cap_tokens")).alias("over"))
 
 
 register("ag10_mix_caps", _budgeted_mix, "SELECT model, source, per_source_tokens AS tokens, per_source_tokens > cap_tokens AS over FROM (SELECT *, row_number() OVER (PARTITION BY model, source ORDER BY packed_at DESC, run_id DESC NULLS LAST, per_source_tokens DESC NULLS LAST) AS k FROM pack_stats WHERE packed_at IS NOT NULL) JOIN source_mix USING (source) WHERE k = 1")
@@ -67,7 +68,7 @@ def _stream_first_seen(s, d):
     src = table(s, d, "events", "event_id", "ts", "user_id", "event_type").withColumn("ts", F.col("ts").cast("timestamp"))
     src.write.parquet(f"{base}/in")
     stream = s.readStream.schema(src.schema).parquet(f"{base}/in")
-    q = stateful.upsert(stateful.first_seen(stream, "user_id", "ts", "3650 days"), f"{base}/out", ["user_id"], ["ts"], f"{base}/state")
+    q = stateful.append_shards(stateful.first_seen(stream, "user_id", "ts", "3650 days"), f"{base}/out", f"{base}/state")
     q.awaitTermination()
     return s.read.parquet(f"{base}/out").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 

@@ -233,7 +233,7 @@ def _stream(s, d, name: str, *columns: str):
 
 def _stream_cleaned(s, d):
     at, stream = _stream(s, d, "documents", "doc_id", "text")
-    stateful.upsert(stateful.cleaned(stream.filter("text IS NOT NULL")).select("doc_id", "reason"), f"{at}/out", ["doc_id"], ["doc_id"], f"{at}/state").awaitTermination()
+    stateful.append_shards(stateful.cleaned(stream.filter("text IS NOT NULL")).select("doc_id", "reason"), f"{at}/out", f"{at}/state").awaitTermination()
     return s.read.parquet(f"{at}/out").select("doc_id", F.regexp_extract("reason", "^[a-z]*", 0).alias("reason"))
 
 
@@ -241,10 +241,17 @@ register("sr03_stream_cleaned", _stream_cleaned)
 
 
 def _stream_resumed(s, d):
-    """A stream that stops after its first files and goes on from its checkpoint."""
-    at, stream = _stream(s, d, "predictions", "run_id", "question_id", "inference_task")
-    for _ in range(2):
-        stateful.upsert(stream, f"{at}/out", ["run_id"], ["run_id"], f"{at}/state").awaitTermination()
+    """A stream that has taken one file when it stops, and goes on from its checkpoint
+    when the others are there. One that began anew would overwrite its first shard
+    and count the first file twice."""
+    at = _folder(s)
+    src = table(s, d, "predictions", "run_id", "question_id", "inference_task")
+    part = F.pmod(F.xxhash64("run_id", "question_id"), F.lit(3))
+    for more in ([0], [1, 2]):
+        for k in more:
+            src.filter(part == k).coalesce(1).write.mode("append").parquet(f"{at}/in")
+        stream = s.readStream.schema(src.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+        stateful.append_shards(stream, f"{at}/out", f"{at}/state").awaitTermination()
     return s.read.parquet(f"{at}/out").drop("batch").groupBy("inference_task").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -254,18 +261,24 @@ register("sr02_last_of_shards", lambda s, d: _stream_last(s, d), "SELECT run_id,
 
 def _stream_last(s, d):
     at, stream = _stream(s, d, "predictions", *_KEY, "created_at", "output_tokens")
-    stateful.upsert(stream, f"{at}/out", _KEY, ["created_at"], f"{at}/state").awaitTermination()
+    stateful.append_shards(stream, f"{at}/out", f"{at}/state").awaitTermination()
     return stateful.latest(s, f"{at}/out", _KEY, ["created_at", "output_tokens"]).select(*_KEY, "output_tokens")
 
 
 def _stream_budget(s, d):
-    at, stream = _stream(s, d, "documents", "doc_id", "source", "n_chars")
-    budget = stateful.within_budget(stream.filter("source IS NOT NULL AND n_chars IS NOT NULL"), "source", "n_chars", 20_000, ["source", "doc_id", "n_chars"])
-    stateful.upsert(budget, f"{at}/out", ["doc_id"], ["doc_id"], f"{at}/state").awaitTermination()
-    return s.read.parquet(f"{at}/out").groupBy("source").agg((F.sum("n_chars") >= F.lit(20_000)).alias("reached"))
+    """Documents in the order of their ids, in several files, until each source has
+    its budget of characters."""
+    at = _folder(s)
+    src = table(s, d, "documents", "doc_id", "source", "n_chars").filter("source IS NOT NULL AND n_chars IS NOT NULL")
+    cuts = src.select(F.percentile_approx("doc_id", [0.3, 0.6], 10_000).alias("q")).first().q or [0, 0]
+    for lo, hi in ((None, cuts[0]), (cuts[0], cuts[1]), (cuts[1], None)):
+        src.filter((F.lit(lo is None) | (col("doc_id") > lo)) & (F.lit(hi is None) | (col("doc_id") <= hi))).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    stream = s.readStream.schema(src.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    stateful.budgeted(stream, "source", ["doc_id"], "n_chars", 20_000, f"{at}/out", f"{at}/state").awaitTermination()
+    return s.read.parquet(f"{at}/out/rows").select("source", "doc_id")
 
 
-register("sr04_stream_budget", _stream_budget, "SELECT source, sum(n_chars) >= 20000 AS reached FROM documents WHERE source IS NOT NULL AND n_chars IS NOT NULL GROUP BY source")
+register("sr04_stream_budget", _stream_budget, "SELECT source, doc_id FROM (SELECT source, doc_id, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM documents WHERE source IS NOT NULL AND n_chars IS NOT NULL) WHERE b < 20000")
 
 
 def _breaker(s, d):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark import StorageLevel
@@ -25,16 +26,38 @@ def get_spark(app: str = "lekha", master: str | None = None, **conf: str) -> Spa
         "spark.ui.enabled": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
-    return b.config(map=base | conf).getOrCreate()
+    spark = b.config(map=base | conf).getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session: on a cluster they
+    don't see the driver's disk."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lekha", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    # A copy for the driver's file server only; nothing is computed there.
+    out = tempfile.mkdtemp(prefix="lekha-package-")
+    try:
+        shutil.copytree(os.path.join(root, "lekha"), os.path.join(out, "src", "lekha"), ignore=shutil.ignore_patterns("__pycache__"))
+        sc.addPyFile(shutil.make_archive(os.path.join(out, "lekha"), "zip", os.path.join(out, "src")))
+    finally:
+        shutil.rmtree(os.path.join(out, "src"), ignore_errors=True)
+    sc._lekha = True
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: that of ``spark.checkpoint.dir``; where it is
-    unset (tests on one machine) a temporary folder of this process."""
+    """The folder for checkpoints, shared by all executors: that of
+    ``spark.checkpoint.dir``. Only where all run on this machine and it is unset, as
+    in tests, it is a temporary folder; else an unset one is an error."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        at = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lekha-checkpoint-")
-        sc.setCheckpointDir(at)
+        at = sc.getConf().get("spark.checkpoint.dir")
+        if not at and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="lekha-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -81,4 +104,4 @@ def tokenizer_dir() -> str:
     return os.environ.get("LEKHA_TOKENIZERS", "/opt/tokenizers")
 
 
-__all__ = ["BROADCAST_ROWS", "COLLECT_ROWS", "StorageLevel", "broadcast_if_small", "checkpoint_dir", "cut", "get_spark", "hash_sample", "join_same", "small", "tokenizer_dir"]
+__all__ = ["BROADCAST_ROWS", "COLLECT_ROWS", "StorageLevel", "broadcast_if_small", "checkpoint_dir", "cut", "get_spark", "hash_sample", "join_same", "ship", "small", "tokenizer_dir"]

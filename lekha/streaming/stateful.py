@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lekha.functions.text import clean, drop_reason
+from lekha.operators.ordered import running_sum
+from lekha.session import broadcast_if_small, cut
 
 
 def first_seen(stream: DataFrame, key: str, at: str, within: str = "7 days") -> DataFrame:
@@ -26,7 +28,7 @@ def cleaned(stream: DataFrame, text: str = "text") -> DataFrame:
     return stream.withColumn(text, clean(F.col(text))).withColumn("reason", drop_reason(F.col(text)))
 
 
-def upsert(stream: DataFrame, path: str, keys: list[str], order: list[str], checkpoint: str):
+def append_shards(stream: DataFrame, path: str, checkpoint: str):
     """Append-only shards, one per batch: a batch that runs again overwrites its own
     shard. Read them back with ``latest``."""
 
@@ -44,7 +46,8 @@ def latest(spark: SparkSession, path: str, keys: list[str], order: list[str]) ->
 
 def within_budget(stream: DataFrame, group: str, tokens: str, budget: int, columns: list[str]) -> DataFrame:
     """Rows of each group until their tokens reach the budget; the running sum is
-    the group's state. Rows of one batch are taken in the order of ``columns``."""
+    the group's state. Rows of one batch are taken in the order of ``columns``. A
+    group's rows of one batch come into one task; ``budgeted`` spreads them."""
     schema = ", ".join(f"{c} {stream.schema[c].dataType.simpleString()}" for c in columns)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -58,6 +61,26 @@ def within_budget(stream: DataFrame, group: str, tokens: str, budget: int, colum
     return stream.groupBy(group).applyInPandasWithState(run, schema, "used bigint", "append", GroupStateTimeout.NoTimeout)
 
 
+def budgeted(stream: DataFrame, group: str, order: list[str], tokens: str, budget: int, path: str, checkpoint: str):
+    """As ``within_budget``, for groups of any size: a batch is one running sum over all
+    tasks, and what earlier batches gave is read back from their sums. Rows go to
+    ``path``/rows, sums to ``path``/used, a batch that runs again overwrites its own.
+    ``order`` must tell a group's rows apart; rows without group are left out."""
+
+    def write(df: DataFrame, batch: int) -> None:
+        spark = df.sparkSession
+        spark.createDataFrame([], f"{group} {df.schema[group].dataType.simpleString()}, used bigint").write.mode("overwrite").parquet(f"{path}/used/batch=-1")
+        used = spark.read.parquet(f"{path}/used").filter(F.col("batch") < batch).groupBy(group).agg(F.sum("used").alias("__used"))
+        x = running_sum(df.filter(F.col(group).isNotNull()), [group, *order], tokens, "__at")
+        start = x.groupBy(group).agg(F.min("__at").alias("__start"))
+        x = x.join(broadcast_if_small(start), group).join(broadcast_if_small(used), group, "left")
+        kept = cut(x.filter(F.col("__at") - F.col("__start") + F.coalesce("__used", F.lit(0)) < budget).select(*df.columns))
+        kept.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+        kept.groupBy(group).agg(F.sum(tokens).cast("bigint").alias("used")).write.mode("overwrite").parquet(f"{path}/used/batch={batch}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def regression_gate(stream: DataFrame, run_id: str, step: str, accuracy: str, soft: float = 0.02, hard: float = 0.05) -> DataFrame:
     """Verdict per measurement against the run's baseline (its first step): OK, WARN
     past ``soft``, HARD_STOP past ``hard``."""

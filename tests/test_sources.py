@@ -69,13 +69,13 @@ def test_streams(spark, tmp_path):
     rows = [("a", i, 10) for i in range(5)] + [("b", 1, 100)]
     spark.createDataFrame(rows, "g string, k bigint, n bigint").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("g string, k bigint, n bigint").parquet(str(tmp_path / "in"))
-    q = stateful.upsert(stateful.within_budget(stream, "g", "n", 25, ["g", "k", "n"]), str(tmp_path / "out"), ["g"], ["k"], str(tmp_path / "cp"))
+    q = stateful.append_shards(stateful.within_budget(stream, "g", "n", 25, ["g", "k", "n"]), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination()
     assert {r.g: r["count"] for r in spark.read.parquet(str(tmp_path / "out")).groupBy("g").count().collect()} == {"a": 3, "b": 1}
     assert stateful.latest(spark, str(tmp_path / "out"), ["g"], ["k"]).count() == 2
     gate = [("r", 0, 0.8), ("r", 1, 0.77), ("r", 2, 0.70)]
     spark.createDataFrame(gate, "run string, step bigint, acc double").write.parquet(str(tmp_path / "g"))
     s = spark.readStream.schema("run string, step bigint, acc double").parquet(str(tmp_path / "g"))
-    q = stateful.upsert(stateful.regression_gate(s, "run", "step", "acc"), str(tmp_path / "go"), ["run"], ["step"], str(tmp_path / "gc"))
+    q = stateful.append_shards(stateful.regression_gate(s, "run", "step", "acc"), str(tmp_path / "go"), str(tmp_path / "gc"))
     q.awaitTermination()
     assert {r.step: r.verdict for r in spark.read.parquet(str(tmp_path / "go")).collect()} == {0: "OK", 1: "WARN", 2: "HARD_STOP"}
