@@ -12,24 +12,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
+from lekha.functions.stems import stem
 from lekha.functions.text import SPACE, bind, words
 
-#: Markers of reasoning.
-MARKERS_EN = ("because", "therefore", "hence", "thus", "since", "so that", "as a result", "however", "but", "although", "though", "whereas", "first", "firstly", "second", "secondly", "third", "thirdly", "finally", "if", "then", "else", "otherwise", "in fact", "specifically", "namely", "for example", "for instance")
-MARKERS_HI = ("क्योंकि", "इसलिए", "परंतु", "लेकिन", "यदि", "तब")
+#: Markers of reasoning, and those of them that say why or against what.
+MARKERS = ("because", "therefore", "hence", "thus", "since", "so that", "as a result", "however", "but", "although", "though", "whereas", "first", "firstly", "second", "secondly", "third", "thirdly", "finally", "if", "then", "else", "otherwise", "in fact", "specifically", "namely", "for example", "for instance", "e.g.", "क्योंकि", "इसलिए", "परंतु", "लेकिन", "यदि", "तब")
+CAUSAL = ("because", "therefore", "hence", "thus", "since", "however", "whereas", "although", "क्योंकि", "इसलिए", "परंतु", "लेकिन")
 
-#: What an abstention says.
-ABSTAINS = ("cannot answer", "can't answer", "i don't know", "i do not know", "insufficient information", "insufficient context", "unable to answer", "unable to determine", "i am not able to answer", "i must decline", "असमर्थ", "उत्तर नहीं दे सकता", "संभव नहीं")
+#: What an abstention says, as whole words in English and anywhere in Hindi.
+ABSTAINS_EN = ("cannot answer", "can'?t answer", "i\\s+(?:don'?t|do not)\\s+know", "insufficient\\s+(?:information|context)", "unable\\s+to\\s+(?:answer|determine)", "no\\s+answer", "none\\s+of\\s+the\\s+above", "skip(?:ping)?")
+ABSTAINS_HI = ("मुझे\\s+(?:नहीं\\s+पता|ज्ञात\\s+नहीं|पता\\s+नहीं)", "उत्तर\\s+(?:नहीं\\s+मालूम|ज्ञात\\s+नहीं)", "जानकारी\\s+(?:अनुपलब्ध|नहीं)", "असमर्थ", "स्किप")
 
 #: Common words that tell no option from another.
 COMMON = ("this", "that", "with", "from", "have", "been", "were", "they", "their", "there", "which", "what", "when", "where", "while", "than", "then", "some", "such", "only", "into", "also", "these", "those", "would", "could", "should", "shall", "will", "must", "many", "more", "most", "much", "very", "even", "each", "every", "both", "above", "below", "between", "during", "after", "before", "about")
 
 #: Directive verbs by the depth they ask for.
-HIGH_VERBS = ("critically analyse", "critically examine", "evaluate", "examine", "analyse", "assess", "justify")
-LOW_VERBS = ("discuss", "explain", "describe", "comment", "account for", "bring out", "debate")
+HIGH_VERBS = ("analyze", "analyse", "evaluate", "critically", "examine", "assess")
+LOW_VERBS = ("describe", "list", "outline", "discuss", "comment", "explain")
 
 LETTERS = r"[A-Za-z\x{0900}-\x{097F}]+"
 EDGE_L, EDGE_R = "(^|[^A-Za-z0-9_])", "([^A-Za-z0-9_]|$)"
+#: What a word boundary lies beside: letters, digits and underscores of any script,
+#: but not combining marks, so a word that ends in one is bounded by a letter only.
+WORD = r"[\p{L}\p{N}_]"
 
 
 def word_tokens(text: Column) -> Column:
@@ -63,6 +68,11 @@ def articles(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"Article[ \t\n]+([0-9]+)"), F.lit(1)), lambda x: x.cast("int"))
 
 
+def cited_share(text: Column, known: tuple[int, ...]) -> Column:
+    """Share of the cited articles that are known ones; 1 where none is cited."""
+    return bind(articles(text), lambda x: F.when(F.size(x) == 0, 1.0).otherwise(F.size(F.filter(x, lambda n: n.isin(*known))) / F.size(x)))
+
+
 def set_f1(a: Column, b: Column, both_empty: float) -> Column:
     """F1 of two sets; ``both_empty`` where neither has members."""
     common = F.size(F.array_intersect(a, b))
@@ -109,11 +119,16 @@ def compression(ratio: Column) -> Column:
     return F.when(ratio < 0.2, F.greatest(F.lit(0.0), ratio / 0.2)).when(ratio <= 0.5, 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 - (ratio - 0.5) / 0.5))
 
 
-def markers_per_100(text: Column) -> Column:
+def bounded(phrases: tuple[str, ...]) -> str:
+    """Pattern of phrases between word boundaries; their own ends are letters, digits
+    or marks, and the boundary lies on the other side of what the end is."""
+    one = lambda w: re.escape(w) + (f"(?!{WORD})" if w[-1].isalnum() else f"(?={WORD})")
+    return f"(?<!{WORD})(?:{'|'.join(map(one, phrases))})"
+
+
+def markers_per_100(text: Column, markers: tuple[str, ...] = MARKERS) -> Column:
     """Markers of reasoning per hundred words."""
-    lower = F.lower(text)
-    n = F.regexp_count(lower, F.lit(rf"(?<![a-z0-9_])({'|'.join(MARKERS_EN)})(?![a-z0-9_])")) + F.regexp_count(lower, F.lit("|".join(MARKERS_HI)))
-    return 100.0 * n / F.greatest(F.lit(1), n_tokens(text))
+    return 100.0 * F.regexp_count(F.lower(text), F.lit(bounded(markers))) / F.greatest(F.lit(1), n_tokens(text))
 
 
 def foreign_share(text: Column) -> Column:
@@ -124,13 +139,14 @@ def foreign_share(text: Column) -> Column:
 
 
 def abstains(text: Column) -> Column:
-    return F.lower(F.replace(text, F.lit("’"), F.lit("'"))).rlike("|".join(ABSTAINS))
+    """Whether a response says that it gives no answer."""
+    white = lambda ps: "|".join(ps).replace("\\s", SPACE)
+    return F.lower(text).rlike(f"(?<!{WORD})(?:{white(ABSTAINS_EN)})(?!{WORD})|{white(ABSTAINS_HI)}")
 
 
 def directive(text: Column) -> Column:
     """Class of the directive verb, the deeper first."""
-    has = lambda ws: F.lower(text).rlike(f"{EDGE_L}({'|'.join(ws)}){EDGE_R}")
-    return F.when(has(HIGH_VERBS), "high").when(has(LOW_VERBS), "low").otherwise("none")
+    return F.when(F.lower(text).rlike(bounded(HIGH_VERBS)), "high").when(F.lower(text).rlike(bounded(LOW_VERBS)), "low").otherwise("unknown")
 
 
 def last_integer(text: Column) -> Column:
@@ -176,10 +192,20 @@ def _lcs(a: list[str], b: list[str]) -> int:
 
 @F.pandas_udf(DoubleType())
 def rouge_l(cand: pd.Series, ref: pd.Series) -> pd.Series:
-    """F1 of the longest common subsequence of words; 0 where a side is blank."""
+    """F1 of the longest common subsequence of word stems; 0 where a side is blank.
+    Words are runs of ASCII letters and digits; those over three letters are stemmed."""
+    known: dict[str, str] = {}
+
+    def stems(t: str | None) -> list[str]:
+        out = []
+        for w in re.findall(r"[a-z0-9]+", (t or "").lower()):
+            if w not in known:
+                known[w] = stem(w) if len(w) > 3 else w
+            out.append(known[w])
+        return out
 
     def one(c: str | None, r: str | None) -> float:
-        a, b = re.findall(r"[^\W_]+", (c or "").lower()), re.findall(r"[^\W_]+", (r or "").lower())
+        a, b = stems(c), stems(r)
         return 2 * _lcs(a, b) / (len(a) + len(b)) if a and b else 0.0
 
     return pd.Series([one(c, r) for c, r in zip(cand, ref, strict=True)])
@@ -248,8 +274,12 @@ def flat_json(raw: pd.Series) -> pd.Series:
     return raw.map(one)
 
 
-def schedule(step: Column, total: int, warm: float = 0.05, decay: float = 0.2, floor: float = 0.1) -> Column:
-    """Learning rate factor that rises in a line, stays, and falls as a cosine."""
-    up, down = max(1, int(total * warm)), int(total * (1 - decay))
-    x = (step - down) / float(max(1, total - down))
-    return F.when(step < up, step / float(up)).when(step < down, F.lit(1.0)).otherwise(floor + (1 - floor) * 0.5 * (1 + F.cos(F.lit(math.pi) * F.least(F.lit(1.0), x))))
+def schedule(step: Column, total: int, warm: float = 0.01, stay: float = 0.80, floor: float = 0.1) -> Column:
+    """Learning rate factor that rises in a line from the first step on, stays, and
+    falls as half a cosine to ``floor``."""
+    up = max(1, round(total * warm))
+    down = up + round(total * stay)
+    if total <= down:
+        return F.when(step < up, (step + 1) / float(up)).when(step < down, F.lit(1.0)).otherwise(F.lit(floor))
+    x = F.least(F.lit(1.0), (step - down) / float(total - down))
+    return F.when(step < up, (step + 1) / float(up)).when(step < down, F.lit(1.0)).otherwise(floor + (1 - floor) * 0.5 * (1 + F.cos(F.lit(math.pi) * x)))

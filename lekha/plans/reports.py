@@ -13,7 +13,7 @@ from lekha.functions import text as T
 from lekha.operators import dedup, evaluation, ordered, sampling
 from lekha.plans.extract import _PG, _pages
 from lekha.plans.registry import register
-from lekha.plans.scores import _A, _DIR, _J, _K, _KEY, _MARK, _NUMS, _YEARS, _adh, _answers, _bands, _f1, _j, _nt, _score, _sent
+from lekha.plans.scores import _A, _DIR, _J, _K, _KEY, _MARK, _NUMS, _YEARS, _adh, _answers, _bands, _count, _f1, _j, _nt, _score, _sent
 from lekha.plans.statistics import _CH, _WITH, _champion, _long, _scored
 from lekha.plans.text import _EST, _IN, _OUT, _STRIP, _TOKENS, _WORDS, S
 from lekha.session import checkpoint_dir
@@ -64,19 +64,12 @@ def _jl(c: str, f: str) -> str:
 
 _score("fn02_joined_text", "inference_task = 'C'", {"sha": lambda: F.sha2(_joined("gold_payload", "strengths"), 256)}, {"sha": f"sha256({_jl('gold_payload', 'strengths')})"})
 _score("fn39_improvements", "inference_task = 'C'", {"n": lambda: F.size(F.coalesce(F.from_json(F.get_json_object("prediction", "$.improvements"), "array<string>"), F.array().cast("array<string>")))}, {"n": "CAST(coalesce(CASE WHEN json_type(prediction, '$.improvements') = 'ARRAY' THEN json_array_length(prediction, '$.improvements') END, 0) AS INT)"})
-_MK = "(100.0 * {0} / greatest(1, {1}))"
-
-
-def _mark(c: str) -> str:
-    return _MARK.replace("explanation", c)
-
-
-_DP = f"(100.0 * {_mark('answer')} / greatest(1, {_nt('answer')}))"
-_DG = f"(100.0 * {_mark('model_answer')} / greatest(1, {_nt('model_answer')}))"
+_DP = f"(100.0 * {_count('answer', C.CAUSAL)} / greatest(1, {_nt('answer')}))"
+_DG = f"(100.0 * {_count('model_answer', C.CAUSAL)} / greatest(1, {_nt('model_answer')}))"
 
 
 def _density_score():
-    p, g = C.markers_per_100(col("answer")), C.markers_per_100(col("model_answer"))
+    p, g = C.markers_per_100(col("answer"), C.CAUSAL), C.markers_per_100(col("model_answer"), C.CAUSAL)
     return F.round(F.when((p > 0) & (g > 0), F.greatest(F.lit(0.0), 1 - F.abs(F.ln(p / g)) / F.ln(F.lit(3.0)))), 6)
 
 
@@ -84,12 +77,8 @@ _score("fn12_density_score", "inference_task IN ('B', 'G')", {"score": _density_
 _KNOWN = tuple(range(1, 52))
 
 
-def _citations():
-    a = C.articles(F.concat("explanation", F.lit(" Article 14 and Article  370")))
-    return F.round(T.bind(a, lambda x: F.when(F.size(x) == 0, 1.0).otherwise(F.size(F.filter(x, lambda n: n <= len(_KNOWN))) / F.size(x))), 6)
-
-
-_score("fn22_citations", "inference_task = 'A'", {"share": _citations}, {"share": f"round(CAST(len(list_filter(regexp_extract_all(explanation || ' Article 14 and Article  370', 'Article[ \\t\\n]+([0-9]+)', 1), lambda x: CAST(x AS INT) <= {len(_KNOWN)})) AS DOUBLE) / len(regexp_extract_all(explanation || ' Article 14 and Article  370', 'Article[ \\t\\n]+([0-9]+)', 1)), 6)"})
+_ART = "regexp_extract_all(explanation, 'Article[ \\t\\n]+([0-9]+)', 1)"
+_score("fn22_citations", "inference_task = 'A'", {"share": lambda: F.round(C.cited_share(col("explanation"), _KNOWN), 6)}, {"share": f"round(CASE WHEN len({_ART}) = 0 THEN 1.0 ELSE CAST(len(list_filter({_ART}, lambda x: CAST(x AS INT) BETWEEN 1 AND {len(_KNOWN)})) AS DOUBLE) / len({_ART}) END, 6)"})
 _GS, _MS = (f"TRY_CAST(json_extract_string(gold_payload, '$.{f}') AS DOUBLE)" for f in ("score", "max_score"))
 _score("fn23_bands", "inference_task IN ('B', 'C')", {"band": lambda: F.when(col("inference_task") == "C", C.band(F.get_json_object("gold_payload", "$.score").cast("double"), F.get_json_object("gold_payload", "$.max_score").cast("double"))).otherwise(F.when(col("target") <= 175, "150w").when(col("target") <= 400, "250w").otherwise("essay"))}, {"band": f"CASE WHEN inference_task = 'C' THEN {_bands(_GS, _MS)} WHEN target <= 175 THEN '150w' WHEN target <= 400 THEN '250w' ELSE 'essay' END"})
 

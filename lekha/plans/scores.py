@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from lekha.functions import scores as C
@@ -61,7 +63,7 @@ def _sent(c: str) -> str:
 _score("fn04_sentences", "inference_task IN ('B', 'G')", {"n": lambda: C.n_sentences(col("answer"))}, {"n": _sent("answer")})
 _YEARS = "list_sort(list_distinct(regexp_extract_all({0}, '(?:^|[^0-9A-Za-z_])((?:19|20|21)[0-9]{2})\\b', 1)))"
 _NUMS = "list_sort(list_distinct(regexp_extract_all({0}, '[0-9]+(?:\\.[0-9]+)?')))"
-_score("fn05_articles", "inference_task = 'A'", {"n": lambda: F.array_join(F.transform(C.articles(F.concat("explanation", F.lit(" Article 14 and Article  21"))), lambda x: x.cast("string")), ",")}, {"n": "array_to_string(list_transform(regexp_extract_all(explanation || ' Article 14 and Article  21', 'Article[ \\t\\n]+([0-9]+)', 1), lambda x: CAST(CAST(x AS INT) AS VARCHAR)), ',')"})
+_score("fn05_articles", "inference_task = 'A'", {"n": lambda: F.array_join(F.transform(C.articles(col("explanation")), lambda x: x.cast("string")), ",")}, {"n": "array_to_string(list_transform(regexp_extract_all(explanation, 'Article[ \\t\\n]+([0-9]+)', 1), lambda x: CAST(CAST(x AS INT) AS VARCHAR)), ',')"})
 _score("fn06_years", "inference_task IN ('B', 'G')", {"years": lambda: F.array_join(C.years(col("answer")), ",")}, {"years": f"array_to_string({_YEARS.replace('{0}', 'answer')}, ',')"})
 _score("fn07_numbers", "inference_task IN ('B', 'G')", {"numbers": lambda: F.array_join(C.numbers(col("answer")), ",")}, {"numbers": f"array_to_string({_NUMS.replace('{0}', 'answer')}, ',')"})
 
@@ -86,17 +88,35 @@ _LO, _HI = (f"CASE WHEN target <= 175 THEN {a} WHEN target <= 400 THEN {b} ELSE
 _score("fn10_counts_adherence", "inference_task IN ('B', 'G')", {"sentences": lambda: F.round(C.count_adherence(C.n_sentences(col("answer")), C.n_sentences(col("model_answer"))), 6), "paragraphs": lambda: F.round(C.paragraph_adherence(F.size(F.filter(F.split("answer", r"\n[ \t]*\n+"), lambda x: F.regexp_replace(x, f"{SPACE}+", "") != "")), col("target")), 6)}, {"sentences": f"round(CAST(greatest(0.0, 1.0 - abs({_sent('answer')} - {_sent('model_answer')}) / greatest(1, {_sent('model_answer')})) AS DOUBLE), 6)", "paragraphs": f"round(CAST(greatest(0.0, 1.0 - (CASE WHEN {_PARA} < {_LO} THEN {_LO} - {_PARA} WHEN {_PARA} > {_HI} THEN {_PARA} - {_HI} ELSE 0 END) / ({_HI})) AS DOUBLE), 6)"})
 _R = f"({_nt('raw')} / CAST(greatest(1, {_nt('input_text')}) AS DOUBLE))"
 _score("fn11_compression", "inference_task = 'E'", {"score": lambda: F.round(C.compression(C.n_tokens(col("raw")) / F.greatest(F.lit(1), C.n_tokens(col("input_text")))), 6)}, {"score": f"round(CAST(CASE WHEN {_R} < CAST(0.2 AS DOUBLE) THEN greatest(0.0, {_R} / CAST(0.2 AS DOUBLE)) WHEN {_R} <= CAST(0.5 AS DOUBLE) THEN 1.0 ELSE greatest(0.0, 1.0 - ({_R} - CAST(0.5 AS DOUBLE)) / CAST(0.5 AS DOUBLE)) END AS DOUBLE), 6)"})
-# RE2 has no look-around: blanks are doubled, so that neighbouring markers both match.
-_MARK = f"(len(regexp_extract_all(regexp_replace(lower(explanation), '([^a-z0-9_])', '\\1\\1', 'g'), '(?:^|[^a-z0-9_])(?:{'|'.join(m.replace(' ', '  ') for m in C.MARKERS_EN)})(?:[^a-z0-9_]|$)')) + len(regexp_extract_all(lower(explanation), '{'|'.join(C.MARKERS_HI)}')))"
+# RE2 has no look-around: what is no word character is doubled, so that neighbouring
+# markers both match.
+_OFF = "[^\\p{L}\\p{N}_]"
+
+
+def _twice(c: str) -> str:
+    return f"regexp_replace(lower({c}), '({_OFF})', '\\1\\1', 'g')"
+
+
+def _marks(words: tuple[str, ...]) -> str:
+    one = lambda w: re.sub(r"[^\w]", lambda m: re.escape(m[0]) * 2, w) + (f"(?:{_OFF}|$)" if w[-1].isalnum() else C.WORD)
+    return f"(?:^|{_OFF})(?:{'|'.join(map(one, words))})"
+
+
+def _count(c: str, words: tuple[str, ...]) -> str:
+    return f"len(regexp_extract_all({_twice(c)}, '{_marks(words)}'))"
+
+
+_MARK = _count("explanation", C.MARKERS)
+_ABSTAIN = "CAST(regexp_matches(lower({0}), '" + f"(?:^|{_OFF})(?:{'|'.join(C.ABSTAINS_EN)})(?:{_OFF}|$)|{'|'.join(C.ABSTAINS_HI)}".replace("'", "''").replace("\\s", _S) + "') AS INT)"
 _score("fn13_marker_density", "inference_task IN ('A', 'F')", {"density": lambda: F.round(C.markers_per_100(col("explanation")), 6)}, {"density": f"round(CAST(100.0 * {_MARK} / greatest(1, {_nt('explanation')}) AS DOUBLE), 6)"})
 _OWN = "len(regexp_extract_all(answer, '[\\x{0904}-\\x{0939}\\x{093D}\\x{0950}\\x{0958}-\\x{0961}\\x{0971}-\\x{097F}]'))"
 _score("fn14_code_mixing", "language = 'hi'", {"share": lambda: F.round(C.foreign_share(col("answer")), 6)}, {"share": f"round(CAST(CASE WHEN len(regexp_extract_all(answer, '\\p{{L}}')) = 0 THEN 0.0 ELSE 1.0 - {_OWN} / len(regexp_extract_all(answer, '\\p{{L}}')) END AS DOUBLE), 6)"})
-_score("fn15_abstains", "TRUE", {"abstains": lambda: C.abstains(col("raw")).cast("int")}, {"abstains": f"CAST(regexp_matches(lower(replace(raw, '’', '''')), '{'|'.join(C.ABSTAINS).replace(chr(39), chr(39) * 2)}') AS INT)"})
+_score("fn15_abstains", "TRUE", {"abstains": lambda: C.abstains(col("raw")).cast("int")}, {"abstains": _ABSTAIN.replace("{0}", "raw")})
 _score("fn19_tokens_per_second", "TRUE", {"tps": lambda: F.round(F.when(col("latency_ms") > 0, col("output_tokens") / (col("latency_ms") / 1000.0)), 6)}, {"tps": "round(CASE WHEN latency_ms > 0 THEN output_tokens / (latency_ms / CAST(1000.0 AS DOUBLE)) END, 6)"})
 _score("fn25_lead_words", "inference_task = 'E'", {"sha": lambda: F.sha2(C.lead(col("raw"), 100), 256)}, {"sha": f"sha256(array_to_string(list_slice({_WORDS.replace('{0}', 'raw')}, 1, 100), ' '))"})
 _score("fn26_last_integer", "TRUE", {"n": lambda: C.last_integer(col("raw"))}, {"n": "least(100, CAST(regexp_extract_all(raw, '(?:^|[^0-9A-Za-z_])([0-9]{1,3})\\b', 1)[-1] AS INT))"})
 _score("fn27_first_letter", "inference_task IN ('A', 'F')", {"letter": lambda: C.first_letter(col("raw"))}, {"letter": "nullif(regexp_extract(upper(raw), '(^|[^A-Za-z0-9_])([ABCD])([^A-Za-z0-9_]|$)', 2), '')"})
-_DIR = "CASE WHEN regexp_matches(lower(question), '{0}') THEN 'high' WHEN regexp_matches(lower(question), '{1}') THEN 'low' ELSE 'none' END".replace("{0}", f"{C.EDGE_L}({'|'.join(C.HIGH_VERBS)}){C.EDGE_R}").replace("{1}", f"{C.EDGE_L}({'|'.join(C.LOW_VERBS)}){C.EDGE_R}")
+_DIR = f"CASE WHEN regexp_matches({_twice('question')}, '{_marks(C.HIGH_VERBS)}') THEN 'high' WHEN regexp_matches({_twice('question')}, '{_marks(C.LOW_VERBS)}') THEN 'low' ELSE 'unknown' END"
 _score("fn32_directive", "inference_task IN ('B', 'G', 'C')", {"depth": lambda: C.directive(col("question"))}, {"depth": _DIR})
 _GOOD = "CASE WHEN json_valid({0}) AND {0} LIKE '{{%' THEN {0} END"
 
@@ -108,7 +128,7 @@ def _good(c: str) -> str:
 _REC = f"coalesce({_good('trim(raw)')}, {_good(chr(39).join(['regexp_extract(raw, ', '(?s)```(?:json)?[ \\t\\n]*(\\{.*\\})[ \\t\\n]*```', ', 1)']))}, {_good(chr(39).join(['regexp_extract(raw, ', '(?s)(\\{.*\\})', ', 1)']))})"
 _score("fn28_recovered_json", "TRUE", {"sha": lambda: F.sha2(C.recovered_json(col("raw")), 256)}, {"sha": f"sha256({_REC})"})
 _LET = "upper(substr(trim(answer), 1, 1))"
-_score("sc01_multiple_choice", "inference_task = 'A'", {"letter": lambda: F.upper(F.substring(F.trim("answer"), 1, 1)), "is_correct": lambda: ((F.upper(F.substring(F.trim("answer"), 1, 1)) == F.upper("correct")) & F.upper(F.substring(F.trim("answer"), 1, 1)).isin("A", "B", "C", "D")).cast("int"), "format_fail": lambda: (~F.upper(F.substring(F.trim("answer"), 1, 1)).isin("A", "B", "C", "D")).cast("int"), "abstains": lambda: C.abstains(col("raw")).cast("int"), "density": lambda: F.round(C.markers_per_100(col("explanation")), 6), "n_sentences": lambda: C.n_sentences(col("explanation"))}, {"letter": _LET, "is_correct": f"CAST({_LET} = upper(correct) AND {_LET} IN ('A', 'B', 'C', 'D') AS INT)", "format_fail": f"CAST({_LET} NOT IN ('A', 'B', 'C', 'D') AS INT)", "abstains": f"CAST(regexp_matches(lower(replace(raw, '’', '''')), '{'|'.join(C.ABSTAINS).replace(chr(39), chr(39) * 2)}') AS INT)", "density": f"round(CAST(100.0 * {_MARK} / greatest(1, {_nt('explanation')}) AS DOUBLE), 6)", "n_sentences": _sent("explanation")})
+_score("sc01_multiple_choice", "inference_task = 'A'", {"letter": lambda: F.upper(F.substring(F.trim("answer"), 1, 1)), "is_correct": lambda: ((F.upper(F.substring(F.trim("answer"), 1, 1)) == F.upper("correct")) & F.upper(F.substring(F.trim("answer"), 1, 1)).isin("A", "B", "C", "D")).cast("int"), "format_fail": lambda: (~F.upper(F.substring(F.trim("answer"), 1, 1)).isin("A", "B", "C", "D")).cast("int"), "abstains": lambda: C.abstains(col("raw")).cast("int"), "density": lambda: F.round(C.markers_per_100(col("explanation")), 6), "n_sentences": lambda: C.n_sentences(col("explanation"))}, {"letter": _LET, "is_correct": f"CAST({_LET} = upper(correct) AND {_LET} IN ('A', 'B', 'C', 'D') AS INT)", "format_fail": f"CAST({_LET} NOT IN ('A', 'B', 'C', 'D') AS INT)", "abstains": _ABSTAIN.replace("{0}", "raw"), "density": f"round(CAST(100.0 * {_MARK} / greatest(1, {_nt('explanation')}) AS DOUBLE), 6)", "n_sentences": _sent("explanation")})
 _score("sc02_long_answer", "inference_task = 'B'", {"schema_valid": lambda: (col("answer") != "").cast("int"), "length": lambda: F.round(C.length_adherence(C.n_tokens(col("answer")), col("target")), 6), "years_f1": lambda: F.round(C.set_f1(C.years(col("answer")), C.years(col("model_answer")), 1.0), 6), "numbers_f1": lambda: F.round(C.set_f1(C.numbers(col("answer")), C.numbers(col("model_answer")), 1.0), 6), "n_words": lambda: C.n_tokens(col("answer"))}, {"schema_valid": "CAST(answer <> '' AS INT)", "length": f"round(CAST({_adh(_nt('answer'), 'target')} AS DOUBLE), 6)", "years_f1": f"round(CAST({_f1(_YEARS.replace('{0}', 'answer'), _YEARS.replace('{0}', 'model_answer'), '1.0')} AS DOUBLE), 6)", "numbers_f1": f"round(CAST({_f1(_NUMS.replace('{0}', 'answer'), _NUMS.replace('{0}', 'model_answer'), '1.0')} AS DOUBLE), 6)", "n_words": f"CAST({_nt('answer')} AS INT)"})
 _PS, _GS, _MS = (f"TRY_CAST(json_extract_string({c}, '$.{f}') AS DOUBLE)" for c, f in (("prediction", "score"), ("gold_payload", "score"), ("gold_payload", "max_score")))
 
@@ -137,7 +157,7 @@ def _source_words():
 _score("sc04_condensed", "inference_task = 'E'", {"n_words": lambda: C.n_tokens(_notes()), "compression": lambda: F.round(C.compression(C.n_tokens(_notes()) / F.greatest(F.lit(1), _source_words())), 6)}, {"n_words": f"CAST({_nt(_PI + ' || ' + chr(39) + ' ' + chr(39) + ' || ' + _MI)} AS INT)", "compression": f"round(CAST(CASE WHEN {_RT} < CAST(0.2 AS DOUBLE) THEN greatest(0.0, {_RT} / CAST(0.2 AS DOUBLE)) WHEN {_RT} <= CAST(0.5 AS DOUBLE) THEN 1.0 ELSE greatest(0.0, 1.0 - ({_RT} - CAST(0.5 AS DOUBLE)) / CAST(0.5 AS DOUBLE)) END AS DOUBLE), 6)"})
 register("fn34_overlap_scores", lambda s, d: _answers(s, d).filter("inference_task IN ('B', 'G')").select(*_KEY, C.rouge_l("answer", "model_answer").alias("rouge_l"), C.chrf("answer", "model_answer").alias("chrf"), C.reading_grade("answer").alias("grade")).distinct())
 register("fn30_flat_payload", lambda s, d: table(s, d, "eval_set", "question_id", "gold_payload").select("question_id", F.length(C.flat_json("gold_payload")).alias("n_chars")))
-register("fn37_schedule", lambda s, d: s.range(1000).select(F.col("id").alias("step"), F.round(C.schedule(F.col("id"), 1000), 6).alias("factor")), "SELECT id AS step, round(CASE WHEN id < 50 THEN id / 50.0 WHEN id < 800 THEN 1.0 ELSE CAST(0.1 AS DOUBLE) + CAST(0.9 AS DOUBLE) * 0.5 * (1 + cos(pi() * least(1.0, (id - 800) / 200.0))) END, 6) AS factor FROM range(1000) t(id)")
+register("fn37_schedule", lambda s, d: s.range(1000).select(F.col("id").alias("step"), F.round(C.schedule(F.col("id"), 1000), 6).alias("factor")), "SELECT id AS step, round(CASE WHEN id < 10 THEN (id + 1) / 10.0 WHEN id < 810 THEN 1.0 ELSE CAST(0.1 AS DOUBLE) + CAST(0.9 AS DOUBLE) * 0.5 * (1 + cos(pi() * least(1.0, (id - 810) / 190.0))) END, 6) AS factor FROM range(1000) t(id)")
 
 
 def _options(s, d):
