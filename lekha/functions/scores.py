@@ -234,19 +234,11 @@ def chrf(cand: pd.Series, ref: pd.Series) -> pd.Series:
     return pd.Series([one(c, r) for c, r in zip(cand, ref, strict=True)])
 
 
-@F.pandas_udf(DoubleType())
-def reading_grade(text: pd.Series) -> pd.Series:
-    """Flesch-Kincaid grade, with syllables counted as runs of vowels."""
-
-    def one(t: str | None) -> float:
-        ws = re.findall(r"[A-Za-z]+", t or "")
-        if not ws:
-            return 0.0
-        sents = max(1, len(re.findall(r"[.!?]+(?:\s|$)", t)))
-        syl = sum(max(1, len(re.findall(r"[aeiouy]+", w.lower())) - (w.lower().endswith("e") and len(w) > 2)) for w in ws)
-        return 0.39 * len(ws) / sents + 11.8 * syl / len(ws) - 15.59
-
-    return text.map(one)
+def reading_grade(text: Column) -> Column:
+    """Flesch-Kincaid grade, with syllables counted as runs of vowels; 0 without words."""
+    sents = F.greatest(F.lit(1), F.regexp_count(text, F.lit(r"[.!?]+([ \t\n\r\f]|\z)")))
+    syllables = lambda w: F.greatest(F.lit(1), F.regexp_count(w, F.lit("[aeiouy]+"))) - F.when(F.endswith(w, F.lit("e")) & (F.length(w) > 2), 1).otherwise(0)
+    return bind(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)), lambda ws: F.when(F.size(ws) == 0, 0.0).otherwise(0.39 * F.size(ws) / sents + 11.8 * F.aggregate(ws, F.lit(0), lambda k, w: k + syllables(w)) / F.size(ws) - 15.59))
 
 
 @F.pandas_udf(StringType())

@@ -79,14 +79,17 @@ class NearDuplicates:
         """doc_a, doc_b and jaccard of linked classes, named by their first documents."""
         return self.links.select("doc_a", "doc_b", "jaccard")
 
-    def documents(self) -> DataFrame:
-        """Every document with its class, whether it is kept, and the number of other
-        classes that its class is linked to."""
+    def linked(self) -> DataFrame:
+        """Every document with its class and the number of other classes that its class is
+        linked to."""
         ends = self.links.select(F.explode(F.array("doc_a", "doc_b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
         named = self.members.join(self.classes.select("id", F.col("doc").alias("class_id")), "id", "left").select("doc", F.coalesce("class_id", "doc").alias("class_id"))
+        return named.join(ends, "class_id", "left").select("doc", "class_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+
+    def documents(self) -> DataFrame:
+        """``linked``, and whether each document is kept."""
         gone = self.dropped().withColumnRenamed("doc", "class_id").withColumn("gone", F.lit(True))
-        out = named.join(ends, "class_id", "left").join(gone, "class_id", "left")
-        return out.select("doc", "class_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), ((F.col("doc") == F.col("class_id")) & F.col("gone").isNull()).alias("kept"))
+        return self.linked().join(gone, "class_id", "left").select("doc", "class_id", "n_links", ((F.col("doc") == F.col("class_id")) & F.col("gone").isNull()).alias("kept"))
 
     def dropped(self) -> DataFrame:
         """Classes that go because an earlier class that stays is like them. A class

@@ -160,6 +160,23 @@ def false_discovery(tests: DataFrame, p: str, out: str) -> DataFrame:
     return x.join(broadcast_if_small(q), F.col("__p") == F.col("__v")).drop("__p", "__v")
 
 
+@F.pandas_udf(DoubleType())
+def _sign_p(b: pd.Series, c: pd.Series) -> pd.Series:
+    return pd.Series([min(1.0, 2 * special.binomial_upper(int(max(x, y)), int(x + y), 0.5)) if x + y else 1.0 for x, y in zip(b, c, strict=True)], dtype=float)
+
+
+def discordant(paired: DataFrame, group: list[str]) -> DataFrame:
+    """Per pair of conditions: n questions, b where the first did better, c where the
+    second did, and the exact two-sided p of so uneven a split; 1 where none differ."""
+    x = paired.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("a") > F.col("b"), 1).otherwise(0)).cast("bigint").alias("__b"), F.sum(F.when(F.col("a") < F.col("b"), 1).otherwise(0)).cast("bigint").alias("c"))
+    return x.select(*group, "n", F.col("__b").alias("b"), "c").withColumn("p", _sign_p("b", "c"))
+
+
+def interval_verdict(lo: Column, hi: Column) -> Column:
+    """WIN above zero, LOSS below, TIE where the interval holds it."""
+    return F.when(lo > 0, "WIN").when(hi < 0, "LOSS").otherwise("TIE")
+
+
 def weighted_kappa(rows: DataFrame, group: list[str], a: str, b: str) -> DataFrame:
     """Quadratic weighted kappa of scores rounded half to even, from sums only:
     1 - mean square difference over that of independent scores."""

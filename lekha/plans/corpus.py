@@ -51,7 +51,7 @@ _PK = ["run_id", "condition", "question_id", "inference_task"]
 register("dd04_keep_last", lambda s, d: dedup.keep_last(table(s, d, "predictions", *_PK, "created_at", "raw_output").withColumn("at", F.try_to_timestamp("created_at")).select(*_PK, "at", F.sha2(F.coalesce("raw_output", F.lit("")), 256).alias("sha")), _PK, ["at", "sha"]).select(*_PK, "sha"), "SELECT run_id, condition, question_id, inference_task, sha FROM (SELECT *, row_number() OVER (PARTITION BY run_id, condition, question_id, inference_task ORDER BY CAST(created_at AS TIMESTAMPTZ) DESC, sha DESC) AS k FROM (SELECT *, sha256(coalesce(raw_output, '')) AS sha FROM predictions)) WHERE k = 1")
 register("dd05_duplicated", lambda s, d: dedup.duplicated(table(s, d, "predictions", *_PK), _PK), "SELECT run_id, condition, question_id, inference_task, count(*) AS n FROM predictions GROUP BY ALL HAVING count(*) > 1")
 register("dd06_first_seen", lambda s, d: dedup.keep_first(table(s, d, "file_results", "file_id", "pdf"), ["pdf"], ["file_id"]), "SELECT min(file_id) AS file_id, pdf FROM file_results GROUP BY pdf")
-register("dd07_not_in_log", lambda s, d: table(s, d, "documents", "doc_id", "dst_path").join(table(s, d, "clean_results", "dst_path").filter("dst_path IS NOT NULL").distinct(), "dst_path", "left_anti").select("doc_id"), "SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM clean_results c WHERE c.dst_path = documents.dst_path)")
+register("dd07_not_in_log", lambda s, d: table(s, d, "documents", "doc_id", "dst_path").join(table(s, d, "clean_results", "dst_path", "cleaned_at").filter("dst_path IS NOT NULL AND cleaned_at < timestamp'2025-01-01'").select("dst_path").distinct(), "dst_path", "left_anti").select("doc_id"), "SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM clean_results c WHERE c.dst_path = documents.dst_path AND c.cleaned_at < TIMESTAMPTZ '2025-01-01 00:00:00+00')")
 register("wi02_last_clean", lambda s, d: dedup.keep_last(table(s, d, "clean_results", "src_path", "cleaned_at", "out_chars", "dropped"), ["src_path"], ["cleaned_at", "out_chars", "dropped"]).select("src_path", "out_chars", "dropped"), "SELECT src_path, out_chars, dropped FROM (SELECT *, row_number() OVER (PARTITION BY src_path ORDER BY cleaned_at DESC NULLS LAST, out_chars DESC NULLS LAST, dropped DESC NULLS LAST) AS k FROM clean_results) WHERE k = 1")
 
 # Leakage.
@@ -70,7 +70,7 @@ def _eval_index(s, d):
 register("tx24_eval_fields", lambda s, d: _eval_index(s, d).texts.select("qid", F.sha2("text", 256).alias("sha")), f"SELECT qid, sha256(text) AS sha FROM {_EV}")
 for _n in leakage.WIDTHS:
     register("jn10_ngram_hits" if _n == 25 else f"jn10_ngram_hits_{_n}", lambda s, d, n=_n: _eval_index(s, d).gram_hits(table(s, d, "documents", "doc_id", "text").filter("text IS NOT NULL"), "doc_id", n=n), f"SELECT DISTINCT qid, doc_id FROM {_grams_sql('doc_id', '(SELECT * FROM documents WHERE text IS NOT NULL)', _n)} JOIN {_grams_sql('qid', _EV, _n)} USING (g)")
-register("ag09_gram_sets", lambda s, d: _eval_index(s, d).grams(25).groupBy("g").agg(F.sort_array(F.collect_set("qid")).alias("q")).filter("size(q) > 1").select(F.array_join("q", ",").alias("qids")).groupBy("qids").agg(F.count(F.lit(1)).alias("n_grams")), f"SELECT qids, count(*) AS n_grams FROM (SELECT string_agg(DISTINCT qid, ',' ORDER BY qid) AS qids FROM {_grams_sql('qid', _EV, 25)} GROUP BY g HAVING count(DISTINCT qid) > 1) GROUP BY qids")
+register("ag09_gram_sets", lambda s, d: _eval_index(s, d).grams(8).groupBy("g").agg(F.sort_array(F.collect_set("qid")).alias("q")).filter("size(q) > 1").select(F.array_join("q", ",").alias("qids")).groupBy("qids").agg(F.count(F.lit(1)).alias("n_grams")), f"SELECT qids, count(*) AS n_grams FROM (SELECT string_agg(DISTINCT qid, ',' ORDER BY qid) AS qids FROM {_grams_sql('qid', _EV, 8)} GROUP BY g HAVING count(DISTINCT qid) > 1) GROUP BY qids")
 _HASH = f"substr(sha256(lower(trim(regexp_replace(text, '{S}+', ' ', 'g')))), 1, 16)"
 _NWORDS = f"len(list_filter(regexp_split_to_array(text, '{S}+'), lambda x: x <> ''))"
 _FT_Q = "coalesce(json_extract_string(input, '$.question'), json_extract_string(input, '$.question_text'), json_extract_string(input, '$.article'))"

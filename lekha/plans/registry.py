@@ -20,7 +20,7 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
 
 def _load() -> None:
     """Import the modules that register their queries."""
-    for name in ("text", "corpus", "records", "scores", "statistics", "shapes", "extract", "reports"):
+    for name in ("text", "corpus", "records", "scores", "statistics", "shapes", "extract", "reports", "stages"):
         try:
             importlib.import_module(f"lekha.plans.{name}")
         except ModuleNotFoundError as e:

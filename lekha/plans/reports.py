@@ -13,11 +13,11 @@ from lekha.functions import text as T
 from lekha.operators import dedup, evaluation, ordered, sampling
 from lekha.plans.extract import _PG, _pages
 from lekha.plans.registry import register
-from lekha.plans.scores import _A, _DIR, _J, _K, _KEY, _MARK, _NUMS, _YEARS, _adh, _answers, _bands, _count, _f1, _j, _nt, _score, _sent
+from lekha.plans.scores import _A, _REC, _DIR, _J, _K, _KEY, _MARK, _NUMS, _YEARS, _adh, _answers, _bands, _count, _f1, _j, _nt, _score, _sent
 from lekha.plans.statistics import _CH, _WITH, _champion, _long, _scored
 from lekha.plans.text import _EST, _IN, _OUT, _STRIP, _TOKENS, _WORDS, S
 from lekha.session import checkpoint_dir
-from lekha.sources import sinks, table, trees
+from lekha.sources import sinks, table
 from lekha.streaming import stateful
 
 col = F.col
@@ -90,8 +90,11 @@ def _letter_of():
     return F.coalesce(F.when(a.rlike("^[0-3]$"), number), F.when(F.upper(F.substring(F.trim(a), 1, 1)).isin(*"ABCD"), F.upper(F.substring(F.trim(a), 1, 1))), C.first_letter(col("raw")))
 
 
-register("fn29_parsed_letter", lambda s, d: _answers(s, d).filter("inference_task IN ('A', 'F')").select(*_KEY, _letter_of().alias("letter")).distinct())
-register("fn33_reading_grade", lambda s, d: _answers(s, d).filter("inference_task = 'B'").select(*_KEY, F.round(C.reading_grade("answer"), 6).alias("grade")).distinct())
+_PA = f"coalesce(json_extract_string({_REC}, '$.answer'), '')"
+_score("fn29_parsed_letter", "inference_task IN ('A', 'F')", {"letter": _letter_of}, {"letter": f"CASE WHEN regexp_matches({_PA}, '^[0-3]$') THEN substr('ABCD', CAST({_PA} AS INT) + 1, 1) WHEN upper(substr(trim({_PA}), 1, 1)) IN ('A', 'B', 'C', 'D') THEN upper(substr(trim({_PA}), 1, 1)) ELSE nullif(regexp_extract(upper(raw), '(^|[^A-Za-z0-9_])([ABCD])([^A-Za-z0-9_]|$)', 2), '') END"})
+_EW = "regexp_extract_all(answer, '[A-Za-z]+')"
+_SY = f"list_sum(list_transform({_EW}, lambda w: greatest(1, len(regexp_extract_all(lower(w), '[aeiouy]+'))) - CASE WHEN lower(w) LIKE '%e' AND length(w) > 2 THEN 1 ELSE 0 END))"
+_score("fn33_reading_grade", "inference_task = 'B'", {"grade": lambda: F.round(C.reading_grade(col("answer")), 6)}, {"grade": f"round(CAST(CASE WHEN len({_EW}) = 0 THEN 0.0 ELSE CAST(0.39 AS DOUBLE) * len({_EW}) / greatest(1, len(regexp_extract_all(answer, '[.!?]+(?:[ \\t\\n\\r\\f]|$)'))) + CAST(11.8 AS DOUBLE) * {_SY} / len({_EW}) - CAST(15.59 AS DOUBLE) END AS DOUBLE), 6)"})
 _NAMES = r"[A-Z][a-z]+(?: [A-Z][a-z]+)+"
 _score("fn36_name_overlap", "inference_task = 'E' AND language = 'en'", {"f1": lambda: F.round(C.set_f1(F.array_distinct(F.regexp_extract_all(col("raw"), F.lit(_NAMES), F.lit(0))), F.array_distinct(F.regexp_extract_all(F.coalesce(F.get_json_object("gold_payload", "$.source_text"), F.lit("")), F.lit(_NAMES), F.lit(0))), 0.0), 6)}, {"f1": f"round(CAST({_f1('list_distinct(regexp_extract_all(raw, ' + chr(39) + _NAMES + chr(39) + '))', 'list_distinct(regexp_extract_all(' + _j('gold_payload', 'source_text') + ', ' + chr(39) + _NAMES + chr(39) + '))', '0.0')} AS DOUBLE), 6)"})
 register("fn38_steps", lambda s, d: table(s, d, "pack_stats", "model", "docs_tokenized").groupBy("model").agg(F.sum("docs_tokenized").alias("n")).select("model", F.ceil(col("n") / 64).cast("bigint").alias("steps"), (F.ceil(col("n") / 64) * 3).cast("bigint").alias("steps_of_3_epochs")), "SELECT model, CAST(ceil(sum(docs_tokenized) / 64.0) AS BIGINT) AS steps, CAST(ceil(sum(docs_tokenized) / 64.0) * 3 AS BIGINT) AS steps_of_3_epochs FROM pack_stats GROUP BY model")
@@ -108,7 +111,8 @@ def _mapped(s, d):
 
 _HK = "(SELECT list(upper(k)) FROM (SELECT unnest(json_keys(options)) AS k))"
 register("fn40_mapped_questions", _mapped, "SELECT question_id, gold, right_text FROM (SELECT question_id, upper(correct_option_letter) AS gold, coalesce(json_extract_string(options, '$.' || upper(correct_option_letter)), json_extract_string(options, '$.' || lower(correct_option_letter))) AS right_text FROM holdout WHERE len(json_keys(options)) = 4) WHERE right_text IS NOT NULL")
-register("fn41_formats", lambda s, d: table(s, d, "orders", "o_orderkey", "o_totalprice").filter("o_orderkey <= 500").select("o_orderkey", (col("o_totalprice") / 1000000).alias("x")).select("o_orderkey", X.percent(F.round(col("x"), 6), 2).alias("percent"), X.signed(F.round(col("x"), 6), 4).alias("signed"), X.p_value(F.round(col("x"), 6)).alias("p")))
+_X4 = "(floor(o_totalprice / 100) / 10000.0 - 2)"
+register("fn41_formats", lambda s, d: table(s, d, "orders", "o_orderkey", "o_totalprice").select("o_orderkey", (F.floor(col("o_totalprice") / 100) / 10000 - 2).alias("x"), F.floor(col("o_totalprice") / 100).alias("k")).select("o_orderkey", X.percent(F.round("x", 4), 2).alias("percent"), X.signed(F.round("x", 4), 4).alias("signed"), X.p_value((col("k") % 1000) / 1000.0).alias("p")), f"SELECT o_orderkey, format('{{:.2f}}%', round({_X4}, 4) * 100) AS percent, format('{{:+.4f}}', round({_X4}, 4)) AS signed, CASE WHEN CAST(floor(o_totalprice / 100) AS BIGINT) % 1000 < 1 THEN '0.0e+00' ELSE format('{{:.3f}}', CAST(floor(o_totalprice / 100) AS BIGINT) % 1000 / 1000.0) END AS p FROM orders")
 _score("sc05_explanations", "inference_task = 'F'", {"n_words": lambda: C.n_tokens(col("explanation")), "n_sentences": lambda: C.n_sentences(col("explanation")), "density": lambda: F.round(C.markers_per_100(col("explanation")), 6), "foreign": lambda: F.round(C.foreign_share(col("explanation")), 6)}, {"n_words": f"CAST({_nt('explanation')} AS INT)", "n_sentences": _sent("explanation"), "density": f"round(CAST(100.0 * {_MARK} / greatest(1, {_nt('explanation')}) AS DOUBLE), 6)", "foreign": "round(CAST(CASE WHEN len(regexp_extract_all(explanation, '\\p{L}')) = 0 THEN 0.0 ELSE 1.0 - len(regexp_extract_all(explanation, '[\\x{0904}-\\x{0939}\\x{093D}\\x{0950}\\x{0958}-\\x{0961}\\x{0971}-\\x{097F}]')) / len(regexp_extract_all(explanation, '\\p{L}')) END AS DOUBLE), 6)"})
 _score("sc06_directed_answers", "inference_task = 'G'", {"length": lambda: F.round(C.length_adherence(C.n_tokens(col("answer")), col("target")), 6), "years_f1": lambda: F.round(C.set_f1(C.years(col("answer")), C.years(col("model_answer")), 1.0), 6), "numbers_f1": lambda: F.round(C.set_f1(C.numbers(col("answer")), C.numbers(col("model_answer")), 1.0), 6), "depth": lambda: C.directive(col("question"))}, {"length": f"round(CAST({_adh(_nt('answer'), 'target')} AS DOUBLE), 6)", "years_f1": f"round(CAST({_f1(_YEARS.replace('{0}', 'answer'), _YEARS.replace('{0}', 'model_answer'), '1.0')} AS DOUBLE), 6)", "numbers_f1": f"round(CAST({_f1(_NUMS.replace('{0}', 'answer'), _NUMS.replace('{0}', 'model_answer'), '1.0')} AS DOUBLE), 6)", "depth": _DIR})
 register("sc07_dispatch", lambda s, d: _scored(s, d).groupBy("tsk").agg(F.count(F.lit(1)).alias("n"), F.count("is_correct").alias("with_letter"), F.count("pred_score").alias("with_score")), _WITH + "SELECT tsk, count(*) AS n, count(is_correct) AS with_letter, count(pred_score) AS with_score FROM sc GROUP BY tsk")
@@ -146,15 +150,6 @@ def _parquet_back(s, d):
 register("snk02_sorted_parquet", _parquet_back, "SELECT question_id, task, language FROM eval_set")
 
 
-def _by_source(s, d):
-    at = _folder(s)
-    sinks.parquet(table(s, d, "documents", "doc_id", "source", "text").filter(T.drop_reason(col("text")) == ""), at, by=["source"])
-    return s.read.parquet(at).select("doc_id", "source")
-
-
-register("snk08_tree_of_kept", _by_source, f"SELECT doc_id, source FROM documents WHERE text IS NOT NULL AND len({_WORDS.replace('{0}', 'text')}) >= 50 AND CASE WHEN len(regexp_extract_all(text, '\\p{{L}}')) > 0 THEN len(regexp_extract_all(text, '[\\x{{0900}}-\\x{{097F}}]')) / len(regexp_extract_all(text, '\\p{{L}}')) ELSE 0.0 END <= 0.30")
-
-
 def _json_back(s, d):
     at = _folder(s)
     sinks.json_lines(table(s, d, "ft_corpus", "pair_id", "task", "output").distinct(), at)
@@ -187,18 +182,6 @@ def _shards(s, d):
 register("snk10_merged_shards", _shards, "SELECT run_id, condition, question_id, inference_task, output_tokens FROM (SELECT *, row_number() OVER (PARTITION BY run_id, condition, question_id, inference_task ORDER BY CAST(created_at AS TIMESTAMPTZ) DESC NULLS LAST, output_tokens DESC NULLS LAST) AS k FROM predictions) WHERE k = 1")
 
 
-def _tree_back(s, d):
-    """Documents written as one text file each and read back as a tree."""
-    at = _folder(s)
-    docs = table(s, d, "eval_set", "question_id", "task", "gold_payload").filter("question_id IS NOT NULL")
-    x = docs.groupBy("task").agg(F.count(F.lit(1)).alias("n"))
-    x.select("task", F.concat(F.lit("n="), col("n").cast("string")).alias("value")).write.partitionBy("task").text(at)
-    return trees.documents(s, at).select(F.regexp_replace("source", "^task=", "").alias("task"), F.regexp_extract("text", "n=([0-9]+)", 1).cast("bigint").alias("n"))
-
-
-register("src06_tree_scan", _tree_back, "SELECT task, count(*) AS n FROM eval_set WHERE question_id IS NOT NULL GROUP BY task")
-
-
 # Acquisition status, and streams run to their end.
 def _status(s, d):
     have = table(s, d, "clean_results", "dst_path").filter("dst_path IS NOT NULL").distinct().withColumn("have", F.lit(True))
@@ -277,5 +260,4 @@ def _breaker(s, d):
 
 
 register("sr06_error_runs", _breaker, "SELECT condition, max(n) AS longest, CAST(sum(CASE WHEN n >= 3 THEN 1 ELSE 0 END) AS BIGINT) AS breaks FROM (SELECT condition, g, count(*) AS n FROM (SELECT condition, bad, sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY condition ORDER BY o) AS g FROM (SELECT DISTINCT condition, concat_ws('|', run_id, question_id, inference_task, sha256(coalesce(raw_output, ''))) AS o, coalesce(length(raw_output), 0) < 40 AS bad FROM predictions)) WHERE bad GROUP BY condition, g) GROUP BY condition")
-register("jn12_near_links", lambda s, d: dedup.near_duplicates(table(s, d, "documents", "doc_id", "text").filter("text IS NOT NULL")).groupBy("kept").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_links").alias("links")))
 register("src25_seeded_probe", lambda s, d: sampling.uniform(table(s, d, "holdout", "question_id", "question"), "question_id", 100, 3).select("question_id"), "SELECT question_id FROM holdout ORDER BY sha256('3:' || question_id), question_id LIMIT 100")

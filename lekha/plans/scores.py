@@ -155,7 +155,7 @@ def _source_words():
 
 
 _score("sc04_condensed", "inference_task = 'E'", {"n_words": lambda: C.n_tokens(_notes()), "compression": lambda: F.round(C.compression(C.n_tokens(_notes()) / F.greatest(F.lit(1), _source_words())), 6)}, {"n_words": f"CAST({_nt(_PI + ' || ' + chr(39) + ' ' + chr(39) + ' || ' + _MI)} AS INT)", "compression": f"round(CAST(CASE WHEN {_RT} < CAST(0.2 AS DOUBLE) THEN greatest(0.0, {_RT} / CAST(0.2 AS DOUBLE)) WHEN {_RT} <= CAST(0.5 AS DOUBLE) THEN 1.0 ELSE greatest(0.0, 1.0 - ({_RT} - CAST(0.5 AS DOUBLE)) / CAST(0.5 AS DOUBLE)) END AS DOUBLE), 6)"})
-register("fn34_overlap_scores", lambda s, d: _answers(s, d).filter("inference_task IN ('B', 'G')").select(*_KEY, C.rouge_l("answer", "model_answer").alias("rouge_l"), C.chrf("answer", "model_answer").alias("chrf"), C.reading_grade("answer").alias("grade")).distinct())
+register("fn34_overlap_scores", lambda s, d: _answers(s, d).filter("inference_task IN ('B', 'G')").select(*_KEY, C.rouge_l("answer", "model_answer").alias("rouge_l"), C.chrf("answer", "model_answer").alias("chrf")).distinct())
 register("fn30_flat_payload", lambda s, d: table(s, d, "eval_set", "question_id", "gold_payload").select("question_id", F.length(C.flat_json("gold_payload")).alias("n_chars")))
 register("fn37_schedule", lambda s, d: s.range(1000).select(F.col("id").alias("step"), F.round(C.schedule(F.col("id"), 1000), 6).alias("factor")), "SELECT id AS step, round(CASE WHEN id < 10 THEN (id + 1) / 10.0 WHEN id < 810 THEN 1.0 ELSE CAST(0.1 AS DOUBLE) + CAST(0.9 AS DOUBLE) * 0.5 * (1 + cos(pi() * least(1.0, (id - 810) / 190.0))) END, 6) AS factor FROM range(1000) t(id)")
 

@@ -37,7 +37,7 @@ _DIMS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), '(^|
 register("tx22_dimensions", lambda s, d: table(s, d, "documents", "doc_id", "text").filter("text IS NOT NULL").select("doc_id", F.array_join(X.dimensions(F.col("text"), LEXICON), ",").alias("dimensions")), f"SELECT doc_id, array_to_string({_DIMS}, ',') AS dimensions FROM documents WHERE text IS NOT NULL")
 _CNT = ", ".join(f"({{'n': -len(regexp_extract_all(regexp_replace(lower(text), '([^a-z0-9_])', '\\1\\1', 'g'), '(?:^|[^a-z0-9_])(?:{'|'.join(ws)})(?:[^a-z0-9_]|$)')), 'd': '{n}'}})" for n, ws in sorted(LEXICON.items()))
 register("fn31_strongest_dimension", lambda s, d: table(s, d, "documents", "doc_id", "text").filter("text IS NOT NULL").select("doc_id", X.strongest_dimension(F.col("text"), LEXICON).alias("dimension")), f"SELECT doc_id, list_min([{_CNT}]).d AS dimension FROM documents WHERE text IS NOT NULL")
-register("fn21_distractors_cited", lambda s, d: _answers(s, d).filter("inference_task = 'A'").select(*_KEY, F.round(X.distractors_cited(F.concat("explanation", F.lit(" (a) None; option B 1 only; c) 1 and 2 only")), _options_map(), F.col("correct"), C.COMMON), 6).alias("share")).distinct())
+register("fn21_distractors_cited", lambda s, d: _answers(s, d).filter("inference_task = 'A'").select(*_KEY, F.round(X.distractors_cited(F.col("explanation"), _options_map(), F.col("correct"), C.COMMON), 6).alias("share")).distinct())
 register("se07_set_algebra", lambda s, d: _answers(s, d).filter("inference_task = 'B'").select(*_KEY, F.size(F.array_intersect(F.array_distinct(C.word_tokens(F.lower("answer"))), F.array_distinct(C.word_tokens(F.lower("model_answer"))))).alias("both"), F.size(F.array_except(C.word_tokens(F.lower("answer")), C.word_tokens(F.lower("model_answer")))).alias("extra")).distinct(), f"SELECT DISTINCT {_K}, CAST(len(list_intersect(list_distinct(a), list_distinct(b))) AS INT) AS both, CAST(len(list_filter(list_distinct(a), lambda x: NOT list_contains(b, x))) AS INT) AS extra FROM (SELECT *, regexp_extract_all(lower(answer), '{C.LETTERS}') AS a, regexp_extract_all(lower(model_answer), '{C.LETTERS}') AS b FROM {_A} WHERE inference_task = 'B')")
 _CONF = "least(1.0, greatest(0.0, TRY_CAST(json_extract_string(p, '$.confidence') AS DOUBLE) / 100.0))"
 
@@ -71,4 +71,5 @@ register("rp02_table", lambda s, d: evaluation.means(_long(s, d)).filter("langua
 register("rp09_verdicts", lambda s, d: evaluation.pairs(_long(s, d), ["task"]).groupBy("metric", "condition_a", "condition_b").agg(F.avg("diff").alias("m"), F.count(F.lit(1)).alias("n")).filter("n >= 5").groupBy("metric", F.when(F.col("m") > 1e-9, "WIN").when(F.col("m") < -1e-9, "LOSS").otherwise("TIE").alias("verdict")).agg(F.count(F.lit(1)).alias("n")), _WITH + ", v AS (SELECT task, metric, question_id, condition, avg(value) AS value FROM lg GROUP BY ALL), pr AS (SELECT x.metric, x.condition AS a, y.condition AS b, CASE WHEN x.metric IN ('" + "', '".join(evaluation.LOWER_IS_BETTER) + "') THEN y.value - x.value ELSE x.value - y.value END AS diff FROM v x JOIN v y ON x.task = y.task AND x.metric = y.metric AND x.question_id = y.question_id AND x.condition < y.condition) SELECT metric, CASE WHEN m > 1e-9 THEN 'WIN' WHEN m < -1e-9 THEN 'LOSS' ELSE 'TIE' END AS verdict, count(*) AS n FROM (SELECT metric, avg(diff) AS m FROM pr GROUP BY metric, a, b HAVING count(*) >= 5) GROUP BY ALL")
 register("rp11_build_report", lambda s, d: table(s, d, "dedupe_reports", "source", "files_seen", "exact_dups_removed", "near_dup_docs_removed").groupBy("source").agg(F.sum("files_seen").alias("files"), F.sum("exact_dups_removed").alias("exact"), F.sum("near_dup_docs_removed").alias("near")), "SELECT source, CAST(sum(files_seen) AS BIGINT) AS files, CAST(sum(exact_dups_removed) AS BIGINT) AS exact, CAST(sum(near_dup_docs_removed) AS BIGINT) AS near FROM dedupe_reports GROUP BY source")
 register("st08_cohen_h", lambda s, d: _scored(s, d).filter("tsk = 'A'").agg(*[F.avg(F.when(F.col("condition") == c, F.col("is_correct"))).alias(c) for c in ("C1a", "C2")]).select(F.round(2 * F.asin(F.sqrt("C2")) - 2 * F.asin(F.sqrt("C1a")), 6).alias("h")), _WITH + "SELECT round(2 * asin(sqrt(avg(is_correct) FILTER (condition = 'C2'))) - 2 * asin(sqrt(avg(is_correct) FILTER (condition = 'C1a'))), 6) AS h FROM sc WHERE tsk = 'A'")
-register("fn42_tiled", lambda s, d: table(s, d, "documents", "doc_id", "text").filter("text IS NOT NULL AND text <> ''").select("doc_id", F.slice(F.flatten(F.array_repeat(F.transform(T.words(F.col("text")), lambda w: F.length(w)), 40)), 1, 256).alias("ids")).select("doc_id", F.size("ids").alias("n"), F.aggregate("ids", F.lit(0), lambda a, x: a + x).alias("total")))
+_WL = "list_transform(list_filter(regexp_split_to_array(text, '" + T.SPACE.replace("'", "''") + "+'), lambda x: x <> ''), lambda x: CAST(length(x) AS INT))"
+register("fn42_tiled", lambda s, d: table(s, d, "documents", "doc_id", "text").filter("text IS NOT NULL AND text <> ''").select("doc_id", F.slice(F.flatten(F.array_repeat(F.transform(T.words(F.col("text")), lambda w: F.length(w)), 40)), 1, 256).alias("ids")).select("doc_id", F.size("ids").alias("n"), F.aggregate("ids", F.lit(0), lambda a, x: a + x).alias("total")), f"SELECT doc_id, CAST(least(256, 40 * len(w)) AS INT) AS n, CAST(coalesce(list_sum(list_transform(range(0, least(256, 40 * len(w))), lambda i: w[i % len(w) + 1])), 0) AS INT) AS total FROM (SELECT doc_id, {_WL} AS w FROM documents WHERE text IS NOT NULL AND text <> '')")

@@ -98,7 +98,7 @@ register("st10_weighted_kappa", lambda s, d: evaluation.weighted_kappa(_scored(s
 register("st11_correlations", lambda s, d: evaluation.rank_correlation(_scored(s, d).filter("tsk = 'C'"), ["condition"], "pred_score", "gold_score").select("condition", "n", *_r("spearman", "pearson")), _WITH + ", x AS (SELECT condition, pred_score AS x, gold_score AS y FROM sc WHERE tsk = 'C' AND pred_score IS NOT NULL AND gold_score IS NOT NULL), r AS (SELECT *, rank() OVER (PARTITION BY condition ORDER BY x) + (count(*) OVER (PARTITION BY condition, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY condition ORDER BY y) + (count(*) OVER (PARTITION BY condition, y) - 1) / 2 AS ry FROM x) SELECT condition, count(*) AS n, round(corr(rx, ry), 6) AS spearman, round(corr(x, y), 6) AS pearson FROM r GROUP BY condition")
 register("st12_errors", lambda s, d: _scored(s, d).filter("tsk = 'C' AND pred_score IS NOT NULL AND gold_score IS NOT NULL").groupBy("condition").agg(F.avg(F.abs(F.col("pred_score") - F.col("gold_score"))).alias("mae"), (F.var_samp("pred_score") / F.var_samp("gold_score")).alias("variance_ratio")).select("condition", *_r("mae", "variance_ratio")), _WITH + "SELECT condition, round(avg(abs(pred_score - gold_score)), 6) AS mae, round(var_samp(pred_score) / var_samp(gold_score), 6) AS variance_ratio FROM sc WHERE tsk = 'C' AND pred_score IS NOT NULL AND gold_score IS NOT NULL GROUP BY condition")
 register("jn14_bilingual", lambda s, d: evaluation.bilingual(_scored(s, d).filter("tsk = 'A' AND is_correct IS NOT NULL"), ["condition"]).select("condition", "n", *_r("acc_en", "acc_hi"), "b", "c"), _WITH + ", x AS (SELECT condition, regexp_replace(question_id, ':(en|hi)$', '') AS stem, max(CASE WHEN language = 'en' THEN is_correct END) AS en, max(CASE WHEN language = 'hi' THEN is_correct END) AS hi FROM sc WHERE tsk = 'A' AND is_correct IS NOT NULL GROUP BY ALL) SELECT condition, count(*) AS n, round(avg(en), 6) AS acc_en, round(avg(hi), 6) AS acc_hi, CAST(sum(CASE WHEN en = 1 AND hi = 0 THEN 1 ELSE 0 END) AS BIGINT) AS b, CAST(sum(CASE WHEN en = 0 AND hi = 1 THEN 1 ELSE 0 END) AS BIGINT) AS c FROM x WHERE en IS NOT NULL AND hi IS NOT NULL GROUP BY condition HAVING count(*) >= 5")
-register("st05_mcnemar", lambda s, d: evaluation.bilingual(_scored(s, d).filter("tsk = 'A' AND is_correct IS NOT NULL"), ["condition"]))
+register("st05_languages", lambda s, d: evaluation.bilingual(_scored(s, d).filter("tsk = 'A' AND is_correct IS NOT NULL"), ["condition"]))
 register("st14_binomial_gate", lambda s, d: evaluation.binomial_gate(_scored(s, d).filter("tsk = 'A' AND is_correct IS NOT NULL"), ["condition"], "is_correct").select("condition", "n", "k"), _WITH + "SELECT condition, count(*) AS n, CAST(sum(is_correct) AS BIGINT) AS k FROM sc WHERE tsk = 'A' AND is_correct IS NOT NULL GROUP BY condition")
 
 
@@ -124,8 +124,8 @@ register("jn16_pending", _pending, "SELECT inference_task, count(*) AS n FROM (S
 
 
 def _miss_runs(s, d):
-    x = table(s, d, "file_results", "file_id", "source", "md_text", "n_pages").filter("source IS NOT NULL").withColumn("bad", F.coalesce("n_pages", F.lit(0)) == 0)
+    x = table(s, d, "file_results", "file_id", "source", "md_text", "n_pages").filter("source IS NOT NULL").withColumn("bad", (F.coalesce("n_pages", F.lit(0)) <= 1) | F.col("md_text").isNull())
     return ordered.islands(x, "source", "file_id", "bad").select("source", "first", "last", "n")
 
 
-register("wi10_miss_runs", _miss_runs, "SELECT source, min(file_id) AS first, max(file_id) AS last, count(*) AS n FROM (SELECT source, file_id, bad, sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY file_id) AS g FROM (SELECT source, file_id, coalesce(n_pages, 0) = 0 AS bad FROM file_results WHERE source IS NOT NULL)) WHERE bad GROUP BY source, g")
+register("wi10_miss_runs", _miss_runs, "SELECT source, min(file_id) AS first, max(file_id) AS last, count(*) AS n FROM (SELECT source, file_id, bad, sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY file_id) AS g FROM (SELECT source, file_id, (coalesce(n_pages, 0) <= 1 OR md_text IS NULL) AS bad FROM file_results WHERE source IS NOT NULL)) WHERE bad GROUP BY source, g")
