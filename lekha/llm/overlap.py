@@ -13,14 +13,14 @@ import html
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lekha.llm.passages import words
+from lekha.llm.passages import held, words
 from lekha.session import broadcast_if_small
 
 #: Share of words that may be changed, moved, dropped or added.
@@ -77,17 +77,51 @@ def common_words(a: np.ndarray, b: np.ndarray, band: int) -> int:
     return int(row[m])
 
 
+class Frequencies:
+    """Numbers of the words of the query set, and how many of its texts hold each."""
+
+    def __init__(self, texts: Iterable[list[str]] = ()) -> None:
+        self.vocabulary: dict[str, int] = {}
+        self.count: list[int] = []
+        self.texts = 0
+        for ws in texts:
+            self.add(ws)
+
+    def add(self, words: list[str]) -> None:
+        self.texts += 1
+        for w in dict.fromkeys(words):
+            at = self.vocabulary.setdefault(w, len(self.count))
+            if at == len(self.count):
+                self.count.append(0)
+            self.count[at] += 1
+
+
+class Texts:
+    """Training texts as numbers of the query set's words, in one array."""
+
+    def __init__(self, texts: list[list[str]], vocabulary: dict[str, int]) -> None:
+        get, other = vocabulary.get, len(vocabulary)
+        self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.first = np.concatenate(([0], np.cumsum(self.sizes)))
+        self.ids = np.full(int(self.first[-1]), other, np.int64)
+        for t, at in zip(texts, self.first.tolist(), strict=False):
+            self.ids[at : at + len(t)] = [get(w, other) for w in t]
+        self.doc = np.repeat(np.arange(len(texts)), self.sizes)
+        self.place = np.arange(len(self.ids)) - self.first[self.doc]
+
+
 class Segments:
-    """Segments of the evaluation texts, for lookup."""
+    """Segments of a block of evaluation texts, for lookup. ``often`` counts the texts of
+    the whole query set that hold each word, so what is rare doesn't depend on blocks."""
 
-    def __init__(self, texts: list[tuple[tuple, list[str]]], rate: float = RATE) -> None:
+    def __init__(self, texts: list[tuple[tuple, list[str]]], rate: float = RATE, often: Frequencies | None = None) -> None:
         self.rate = rate
-        self.vocabulary: dict[str, int] = {}
+        # Given to all blocks, the vocabulary isn't sent with each.
+        self.vocabulary = None if often else (often := Frequencies(ws for _, ws in texts)).vocabulary
         self.keys = [k for k, _ in texts]
-        self.ids = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in ws], np.int64) for _, ws in texts]
-        self.size = len(self.vocabulary) + 1
-        texts_with = np.bincount(np.concatenate([np.unique(x) for x in self.ids] or [np.zeros(0, np.int64)]), minlength=self.size)
-        self.rare = texts_with <= max(1, RARE * len(self.ids))
+        self.ids = [np.array([often.vocabulary[w] for w in ws], np.int64) for _, ws in texts]
+        self.size = len(often.vocabulary) + 1
+        self.rare = np.array([*often.count, 0]) <= max(1, RARE * often.texts)
         self.rare[self.size - 1] = False
         own = [np.unique(x[self.rare[x]]) for x in self.ids]
         self.need = np.array([np.ceil(KEPT * len(x)) if len(x) > 3 else 0 for x in own], np.int64)
@@ -116,17 +150,10 @@ class Segments:
             names, begin = np.unique(t[:, 0], return_index=True)
             self.tables[width] = (names, np.append(begin, len(t)), t[:, 1], t[:, 2])
 
-    def matches(self, texts: list[list[str]]) -> list[tuple[int, int]]:
+    def matches(self, texts: Texts | list[list[str]]) -> list[tuple[int, int]]:
         """(training text, evaluation text) of all pairs that are nearly the same."""
-        get = self.vocabulary.get
-        other = self.size - 1
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        first = np.concatenate(([0], np.cumsum(sizes)))
-        ids = np.full(int(first[-1]), other, np.int64)
-        for t, at in zip(texts, first.tolist(), strict=False):
-            ids[at : at + len(t)] = [get(w, other) for w in t]
-        doc = np.repeat(np.arange(len(texts)), sizes)
-        place = np.arange(len(ids)) - first[doc]
+        texts = Texts(texts, self.vocabulary) if isinstance(texts, list) else texts
+        ids, doc, place, first, sizes = texts.ids, texts.doc, texts.place, texts.first, texts.sizes
         lengths = np.array([len(x) for x in self.ids], np.int64)
         found = []
         for width, (names, begin, owner, at) in self.tables.items():
@@ -197,7 +224,8 @@ def overlaps(splits: DataFrame, training: DataFrame, rate: float = RATE, block_r
     among the evaluation texts must be shared, so a common frame is no case.
 
     The evaluation records are a stated query set, sent out in blocks of
-    ``block_rows``. Null ids or texts, JSON that can't be read and ids without a
+    ``block_rows``, of which a worker holds one at a time; the training records are
+    read once, however many blocks there are. Null ids or texts, JSON that can't be read and ids without a
     second part match nothing; repeated rows give each case once; empty tables an
     empty result; other columns are not carried.
     """
@@ -206,25 +234,31 @@ def overlaps(splits: DataFrame, training: DataFrame, rate: float = RATE, block_r
     ids = splits.select("split", "question_id", base_id(F.col("question_id")).alias("base")).filter("base IS NOT NULL").distinct()
     out = training.select("pair_id", base_id(F.col("pair_id")).alias("base")).join(broadcast_if_small(ids), "base").select("split", "question_id", "pair_id")
     parts = max(1, -(-splits.count() // block_rows))
-    for block in range(parts):
-        mine = splits.filter(F.pmod(F.xxhash64("split", "question_id"), F.lit(parts)) == block) if parts > 1 else splits
-        rows = list(split_texts(mine))
-        shared = training.sparkSession.sparkContext.broadcast(tuple(Segments([(k, w) for k, w, a in rows if a == article], rate) for article in (False, True)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                pairs, raws = b.column(0).to_pylist(), b.column(1).to_pylist()
-                got: list[tuple] = []
-                for segments, fields in zip(shared.value, (QUESTION, ARTICLE), strict=True):
-                    at: dict[str, list[int]] = {}
-                    for i, raw in enumerate(raws):
-                        t = text_of(raw, fields)
-                        if t:
-                            at.setdefault(t, []).append(i)
-                    texts = list(at)
-                    got += [(*segments.keys[e], pairs[i]) for d, e in segments.matches([plain(t) for t in texts]) for i in at[texts[d]]]
-                got = sorted(set(got))
+    spark = training.sparkSession
+    block = lambda k: splits.filter(F.pmod(F.xxhash64("split", "question_id"), F.lit(parts)) == k) if parts > 1 else splits
+    often = (Frequencies(), Frequencies())
+    for k in range(parts):
+        for _, ws, article in split_texts(block(k)):
+            often[article].add(ws)
+    blocks = []
+    for k in range(parts):
+        rows = list(split_texts(block(k)))
+        blocks.append(spark.sparkContext.broadcast(tuple(Segments([(key, w) for key, w, a in rows if a == article], rate, often[article]) for article in (False, True))))
+    known = spark.sparkContext.broadcast(tuple(o.vocabulary for o in often))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs, raws = b.column(0).to_pylist(), b.column(1).to_pylist()
+            ready = []
+            for vocabulary, fields in zip(known.value, (QUESTION, ARTICLE), strict=True):
+                at: dict[str, list[int]] = {}
+                for i, raw in enumerate(raws):
+                    t = text_of(raw, fields)
+                    if t:
+                        at.setdefault(t, []).append(i)
+                ready.append((list(at.values()), Texts([plain(t) for t in at], vocabulary)))
+            for one in blocks:
+                got = sorted({(*segments.keys[e], pairs[i]) for segments, (where, texts) in zip(held(one, len(blocks) > 1), ready, strict=True) for d, e in segments.matches(texts) for i in where[d]})
                 yield pa.RecordBatch.from_arrays([pa.array([g[c] for g in got], pa.string()) for c in range(3)], names=["split", "question_id", "pair_id"])
 
-        out = out.unionByName(training.mapInArrow(run, "split string, question_id string, pair_id string"))
-    return out.distinct()
+    return out.unionByName(training.mapInArrow(run, "split string, question_id string, pair_id string")).distinct()

@@ -1,9 +1,10 @@
 """Evaluation texts that leak into training text: a positional inverted index.
 
 The index is cut by document: each Arrow batch of training documents gets its own
-postings, for every term the sorted positions at which it stands. The query set
-(passages of the evaluation texts) goes out once to all executors, in blocks of
-bounded size, and is run against every part. A window of query words is looked up
+postings, for every term the sorted positions at which it stands. They are made
+once, where the documents are read, and never shuffled. The query set (passages of
+the evaluation texts) goes out once to all executors, in blocks of bounded size; all
+blocks are run against a part, one after the other, before the next part is read. A window of query words is looked up
 by its two rarest terms: their lists, each shifted by the term's offset in the
 window, are intersected, and what is left is compared word by word.
 """
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,16 +77,17 @@ def payload(raw: str | None) -> tuple[list[str], str | None]:
 
 
 class Passages:
-    """Query set: all words in one array, and the windows to look up.
+    """Queries: all words in one array, as numbers of a vocabulary that all blocks of the
+    query set share, and the windows to look up.
 
     ``size`` words in a row of one value make a case, or all words of a question
     of ``least`` words or more that is shorter than that. Windows begin at every
     ``stride``-th word of a value.
     """
 
-    def __init__(self, rows: list[tuple[object, str | None]], size: int = 15, least: int = 8, stride: int = 1) -> None:
+    def __init__(self, rows: list[tuple[object, str | None]], vocabulary: dict[str, int], size: int = 15, least: int = 8, stride: int = 1) -> None:
+        """New words of ``rows`` are added to ``vocabulary``."""
         self.size, self.keys = size, []
-        vocabulary: dict[str, int] = {}
         text, starts, lengths, owner = [], [], [], []
         seen: set = set()
         for key, raw in rows:
@@ -105,7 +108,6 @@ class Passages:
                 lengths += [span] * len(at)
                 owner += [len(self.keys)] * len(at)
                 self.keys.append(key)
-        self.vocabulary = vocabulary
         self.text = np.array(text, np.int32)
         self.starts, self.lengths, self.owner = np.array(starts, np.int64), np.array(lengths, np.int64), np.array(owner, np.int64)
 
@@ -270,6 +272,15 @@ class Index:
                 yield np.unique(np.stack((doc[r], whose[r, c]), 1), axis=0)
 
 
+def held(block: Broadcast, drop: bool) -> object:
+    """The value of a broadcast block; with ``drop`` a worker doesn't keep it, so it
+    holds one block at a time."""
+    value = block.value
+    if drop:
+        block.__dict__.pop("_value", None)
+    return value
+
+
 def leaked(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text: str = "text", test_key: str = "question_id", test_payload: str = "gold_payload", size: int = 15, least: int = 8, block_rows: int = 20_000, slack: int | None = None, share: float = 0.9, stride: int | None = None) -> DataFrame:
     """Every pair of a document and a test item of which it contains a passage.
 
@@ -281,9 +292,9 @@ def leaked(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text: str = "
     passages. With ``slack`` the default is ``size``, windows that follow each other
     without overlap, which see only part of the passages.
 
-    The test items are a stated query set. They are taken in blocks of
-    ``block_rows`` rows, each sent to all executors and run against all documents,
-    so what is broadcast is bounded however many there are. Null and empty texts
+    The test items are a stated query set. They are sent to all executors in blocks of
+    ``block_rows`` rows, of which a worker holds one at a time, however many there
+    are; only their words' numbers are held throughout. Documents are read once. Null and empty texts
     and payloads give no pairs; items with a null key are left out; repeated rows
     give each pair once. Whole texts are indexed. Other columns are not carried.
     """
@@ -292,22 +303,24 @@ def leaked(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text: str = "
     n = rows.count()
     kinds = f"`{key}` {src.schema[0].dataType.simpleString()}, `{test_key}` {rows.schema[0].dataType.simpleString()}"
     parts = max(1, -(-n // block_rows))
-    out = None
+    spark = docs.sparkSession
+    vocabulary: dict[str, int] = {}
+    blocks = []
     for block in range(parts):
         mine = rows.filter(F.pmod(F.xxhash64("k", "p"), F.lit(parts)) == block) if parts > 1 else rows
-        query = docs.sparkSession.sparkContext.broadcast(Passages([(r.k, r.p) for r in mine.collect()], size, least, stride or (1 if slack is None else size)))
-
-        def run(batches: Iterator[pa.RecordBatch], query=query) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                q = query.value
-                index = Index(b.column(1).to_pylist(), q.vocabulary)
+        blocks.append(spark.sparkContext.broadcast(Passages([(r.k, r.p) for r in mine.collect()], vocabulary, size, least, stride or (1 if slack is None else size))))
+    known = spark.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            index = Index(b.column(1).to_pylist(), known.value)
+            for block in blocks:
+                q = held(block, len(blocks) > 1)
                 doc, owner = index.phrases(q) if slack is None else index.near(q, slack, share)
                 pairs = sorted({(d, q.keys[o]) for d, o in zip(doc.tolist(), owner.tolist(), strict=True)})
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([d for d, _ in pairs], pa.int64())), pa.array([k for _, k in pairs], types[1])], names=[key, test_key])
 
-        types = pa.schema(docs.sparkSession.createDataFrame([], kinds).toArrow().schema).types
-        found = src.mapInArrow(run, kinds)
-        out = found if out is None else out.unionByName(found)
-    return out.distinct()
+    types = pa.schema(spark.createDataFrame([], kinds).toArrow().schema).types
+    return src.mapInArrow(run, kinds).distinct()

@@ -69,3 +69,39 @@ def test_edits_on_rare_words_are_edits():
     texts = [[*frame, *[f"rare{i}{c}" for c in "abcd"]] for i in range(40)]
     changed = [*texts[0][:-2], "one", "two"]
     assert overlap.Segments([((i,), t) for i, t in enumerate(texts)]).matches([changed, [*frame, "rare0a", "x", "y", "z"]]) == [(0, 0)]
+
+
+def test_blocks_of_the_query_set_change_nothing(spark):
+    r = random.Random(12)
+    evals = [(f"q{i}", json.dumps({"question": " ".join(r.choices(VOCABULARY[:80], k=r.choice([6, 12, 40])))})) for i in range(30)]
+    docs = []
+    for i in range(90):
+        t = passages.words(passages.payload(r.choice(evals)[1])[1])
+        at = r.randint(0, max(0, len(t) - 16))
+        docs.append((i, " ".join([*r.choices(VOCABULARY, k=r.randint(0, 9)), *t[at : at + 16]])))
+    tests = spark.createDataFrame(evals, "question_id string, gold_payload string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    splits = tests.selectExpr("'locked' AS split", "question_id", "gold_payload AS payload")
+    train = spark.createDataFrame([(str(d), json.dumps({"question": t})) for d, t in docs] + [(k, v) for k, v in evals], "pair_id string, input string")
+    for run in (lambda **x: passages.leaked(df, tests, **x), lambda **x: passages.leaked(df, tests, slack=2, stride=1, **x), lambda **x: overlap.overlaps(splits, train, **x)):
+        whole, parts = ({tuple(q) for q in run(block_rows=n).collect()} for n in (1000, 4))
+        assert whole == parts and len(whole) > 20
+
+
+def test_planted_edits_are_found_by_proximity(spark):
+    r = random.Random(21)
+    evals = [(f"q{i}", json.dumps({"question": " ".join(r.choices(VOCABULARY, k=60))})) for i in range(20)]
+    docs, want = [], set()
+    for i in range(200):
+        q, raw = r.choice(evals)
+        t = passages.words(passages.payload(raw)[1])
+        at = r.randint(0, 38)
+        quote = t[at : at + 22]
+        for _ in range(2):
+            j = r.randrange(1, 20)
+            quote[j : j + 2] = r.choice([quote[j : j + 2][::-1], [quote[j], "other", quote[j + 1]], ["other", quote[j + 1]]])
+        docs.append((i, " ".join([*r.choices(VOCABULARY, k=20), *quote, *r.choices(VOCABULARY, k=20)])))
+        want.add((i, q))
+    tests = spark.createDataFrame(evals, "question_id string, gold_payload string")
+    got = {tuple(x) for x in passages.leaked(spark.createDataFrame(docs, "doc_id long, text string"), tests, slack=2, stride=1).collect()}
+    assert len(got & want) >= 0.9 * len(want)
