@@ -49,6 +49,8 @@ _TOKEN = re.compile(rf"[^\W_]*(?:[{ODD}][^\W_]*)+|[^\W_]+")
 _LETTER = re.compile(r"[^\W\d_]|�")
 _PAIR = re.compile(r"(?=\b([^\W\d_]+-[^\W\d_]+)\b)")
 _MARK = re.compile(rf"([^\W_{ODD}]|[{ODD}])([-\u00ac\u00ad\u2010\u2011])\s*$")
+#: Marks of a break; an empty end is none.
+_MARKS = frozenset("-\u00ac\u00ad\u2010\u2011")
 _BREAK = re.compile(r"[\s\x0c]*(?:[-=_*~#—–•·.]\s*){3,}$")
 _CAPTION = re.compile(r"\W*(?:table|fig(?:ure)?|box|map|chart|plate|annex(?:ure)?|exhibit)\b\.?\s*[\dIVXLC]", re.IGNORECASE)
 _D = r"[0-9OolI|SsBZzGgqbi�]"
@@ -70,6 +72,10 @@ _FULL = re.compile(r"(?:[\W_]*[^\W_]){25}")
 _NUMBERED = re.compile(rf"^\W*{_D}{{1,4}}\s{{2,}}|\s{{2,}}{_D}{{1,4}}\W*$|^\W*\d{{1,4}}\W+|\W+\d{{1,4}}\W*$")
 
 
+#: What each way to bear a number has.
+_MAYBE_NUMBERED = re.compile(r"\d|\s\s")
+
+
 def number(text: str, style: str) -> int | None:
     """Value of a page number; none where it can't be read."""
     t = text.strip().lower()
@@ -94,12 +100,13 @@ def fold(text: str) -> str:
     for a, b in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("rn", "m"), ("ri", "n"), ("cl", "d"), ("vv", "w"), ("ii", "u"), ("li", "h")):
         t = t.replace(a, b)
     t = t.translate(_ALIKE).translate(_ALSO).replace("i", "l")
-    return "".join(c for c in t if c.isalpha() or c == "�")
+    return t if t.isalpha() else "".join(c for c in t if c.isalpha() or c == "�")
 
 
 def letters(text: str) -> str:
     """A line without the page number that it begins or ends with."""
-    return _NUMBERED.sub("", text.strip())
+    s = text.strip()
+    return _NUMBERED.sub("", s) if _MAYBE_NUMBERED.search(s) else s
 
 
 def distance(a: str, b: str, most: int) -> int:
@@ -149,6 +156,7 @@ class Page:
         self.kinds = ["text"] * len(self.rows)
         self._candidates: list[int] | None = None
         self._words: dict[int, list[str]] = {}
+        self._breaks: list[tuple[int, int, str, str, str, bool]] | None = None
         for i, r in enumerate(self.rows):
             s = r.strip(" \t\r\x0c\u00a0\u200b\ufeff")
             if not s:
@@ -210,7 +218,7 @@ class Page:
         if self._candidates is None:
             self._candidates = []
             for i, r in enumerate(self.rows):
-                if self.kinds[i] != "text":
+                if self.kinds[i] != "text" or r[:1].islower() and not _MAYBE_NUMBERED.search(r):
                     continue
                 s = letters(r)
                 if len(s) > 2 and s[-1] not in ".;,:!?।-\u00ac\u00ad\u2010" and not s[0].islower() and len(_LETTER.findall(s)) > 0.6 * (len(s) - s.count(" ")) and not _CAPTION.match(s):
@@ -226,9 +234,7 @@ class Page:
         owner = {k: k for k in heads}
         # Half the difference of letter counts is a lower bound of the edit distance, so
         # lines that differ in more than APART of their letters are not compared.
-        letters_of = np.zeros((len(heads), 32), np.int32)
-        for n, k in enumerate(heads):
-            np.add.at(letters_of[n], np.frombuffer(k.encode("utf-32-le"), np.uint32) % 32, 1)
+        letters_of = np.array([np.bincount(np.frombuffer(k.encode("utf-32-le"), np.uint32) % 32, minlength=32) for k in heads], np.int32).reshape(-1, 32)
         size = np.array([len(k) for k in heads])
         for n, k in enumerate(heads):
             if not n:
@@ -250,26 +256,39 @@ class Page:
             if len(at) > 1:
                 for i in at:
                     self.kinds[i] = "running"
+        self._breaks = None
 
     def words(self, i: int) -> list[str]:
         if i not in self._words:
             self._words[i] = _TOKEN.findall(self.rows[i].lower())
         return self._words[i]
 
+    def _aside(self, i: int) -> bool:
+        """Captions, headings and numbers, which may stand between the parts of a word."""
+        if i not in self._asides:
+            r = self.rows[i]
+            self._asides[i] = i in self._heads or not any(c.islower() or c in ODD for c in r) or bool(_CAPTION.match(r))
+        return self._asides[i]
+
     def breaks(self) -> list[tuple[int, int, str, str, str, bool]]:
         """(line, next text line, left part, right part, mark, whether the right part
         is in lower case) of words that may be broken at a line's end."""
+        if self._breaks is not None:
+            return self._breaks
         text = [i for i, k in enumerate(self.kinds) if k == "text"]
-        aside = {*self.candidates(), *(i for i in text if not any(c.islower() or c in ODD for c in self.rows[i]) or _CAPTION.match(self.rows[i]))}
+        self._heads, self._asides = set(self.candidates()), {}
         out = []
         for n, i in enumerate(text[:-1]):
-            # Captions, headings and numbers may stand between the parts.
-            j = next((j for j in text[n + 1 : n + 4] if j not in aside), text[n + 1])
-            m = _MARK.search(self.rows[i].rstrip(" \t\r\x0c"))
+            r = self.rows[i].rstrip()
+            if r[-1:] not in _MARKS:
+                continue
+            m = _MARK.search(r)
+            j = next((j for j in text[n + 1 : n + 4] if not self._aside(j)), text[n + 1])
             if m and any(c.isalpha() or c in ODD for c in self.rows[j][:3].strip()):
                 left, right = self.words(i), self.words(j)
                 if left and right:
                     out.append((i, j, left[-1], right[0], m[2], self.rows[j].lstrip()[:1].islower() or self.rows[j].lstrip()[:1] in ODD))
+        self._breaks = out
         return out
 
     def tokens(self) -> list[tuple[int, str]]:
