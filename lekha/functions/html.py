@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -99,6 +100,8 @@ class _Markdown(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in self.SKIP:
             self.skip += 1
+        elif self.skip:
+            return
         elif tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             self.out.append("\n\n" + "#" * int(tag[1]) + " ")
         elif tag in ("p", "div", "section", "article", "table", "ul", "ol"):
@@ -113,12 +116,12 @@ class _Markdown(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in self.SKIP:
             self.skip = max(0, self.skip - 1)
-        elif tag in ("b", "strong"):
+        elif tag in ("b", "strong") and not self.skip:
             self.out.append("**")
 
     def handle_data(self, data: str) -> None:
         if not self.skip:
-            self.out.append(" ".join(data.split()) if data.strip() else " ")
+            self.out.append(re.sub(r"\s+", " ", data))
 
 
 @F.pandas_udf(StringType())
