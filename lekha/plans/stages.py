@@ -127,7 +127,7 @@ def _extracted(s, d):
     return files.groupBy(F.regexp_replace("source", "^task=", "").alias("task")).agg(F.sum("n_pages").alias("n"), F.sum(F.octet_length("text").cast("bigint")).alias("bytes"), F.count("error").alias("errors"))
 
 
-register("src13_extracted", _extracted, "SELECT task, count(*) AS n, CAST(sum(strlen(gold_payload) + 1) AS BIGINT) AS bytes, 0 AS errors FROM eval_set WHERE gold_payload IS NOT NULL AND task IS NOT NULL GROUP BY task")
+register("src13_extracted", _extracted, "SELECT task, count(*) AS n, CAST(sum(strlen(gold_payload) + 1) AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS errors FROM eval_set WHERE gold_payload IS NOT NULL AND task IS NOT NULL GROUP BY task")
 
 
 # The gate between leakage and what trains: nothing passes it that hits, and what is purged does.
