@@ -408,6 +408,17 @@ class Readings:
         return [how[0], float(how[1]), math.log(n_right), ratio, float(len(right)), shared / (len(read) + 1), float(odd), float(len(read) - len(right)), ratio + how[0]]
 
 
+def differing(a: str, b: str) -> tuple[str, str]:
+    """What two words are between the letters that they begin and end with alike."""
+    p, most = 0, min(len(a), len(b))
+    while p < most and a[p] == b[p]:
+        p += 1
+    q = 0
+    while q < most - p and a[-1 - q] == b[-1 - q]:
+        q += 1
+    return a[p : len(a) - q], b[p : len(b) - q]
+
+
 def shared_grams(read: str, right: str) -> tuple[int, int]:
     """Different bigrams, edges included, that two words share within two places, and
     how many they must share at least."""
@@ -571,7 +582,9 @@ class Scans:
         right = self.vocabulary.filter(F.length("word") >= 2).filter(F.col("word").rlike(r"^\p{L}[\p{L}\p{M}]+$"))
         # Suspicious: anything but numbers, and with letters in the main.
         read = v.filter(F.regexp_count("word", F.lit(r"\p{L}|[�]")) * 2 >= F.length("word"))
-        pairs = cut(self._pairs(read, right))
+        # Small in bytes but dear to judge, so all tasks share them.
+        parts = 2 * self.vocabulary.sparkSession.sparkContext.defaultParallelism
+        pairs = cut(self._pairs(read, right).repartition(parts, "word"))
         costs, lost = self._costs(pairs)
         readings = self.vocabulary.sparkSession.sparkContext.broadcast(fit_readings(self._often(right, sample), costs, lost))
 
@@ -595,14 +608,12 @@ class Scans:
         """Costs of misreadings, the usual ones and those that the corpus shows in many
         words, and of lost letters: how often each occurs against how often it could
         (counts of letters, not words, come to the driver)."""
-        w, r = F.col("word"), F.col("right")
-        same = F.reduce(F.sequence(F.lit(1), F.least(F.length(w), F.length(r))), F.lit(0), lambda k, i: F.when((k == i - 1) & (F.substr(w, i, F.lit(1)) == F.substr(r, i, F.lit(1))), i).otherwise(k))
-        x = pairs.filter(F.col("n_right") >= 20 * F.col("n")).withColumn("p", same)
-        rest = lambda c: F.substr(c, F.col("p") + 1, F.length(c))
-        x = x.withColumns({"a": rest(r), "b": rest(w)})
-        back = F.reduce(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length("a"), F.length("b")))), F.lit(0), lambda k, i: F.when((k == i - 1) & (F.substr(F.reverse("a"), i, F.lit(1)) == F.substr(F.reverse("b"), i, F.lit(1))) & (i <= F.least(F.length("a"), F.length("b"))), i).otherwise(k))
-        x = x.withColumn("q", back).select("right", "n", F.substr("a", F.lit(1), F.length("a") - F.col("q")).alias("a"), F.substr("b", F.lit(1), F.length("b") - F.col("q")).alias("b"))
-        x = x.filter("length(a) BETWEEN 1 AND 3 AND length(b) BETWEEN 1 AND 2 AND NOT contains(b, '�')")
+        def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = [(r, n, *d) for w, r, n in zip(*(c.to_pylist() for c in batch.columns), strict=True) if 1 <= len((d := differing(r, w))[0]) <= 3 and 1 <= len(d[1]) <= 2 and "�" not in d[1]]
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.string()))], names=["right", "n", "a", "b"])
+
+        x = pairs.filter(F.col("n_right") >= 20 * F.col("n")).select("word", "right", "n").mapInArrow(apart, "right string, n bigint, a string, b string")
         x = cut(x.groupBy("a", "b").agg(F.countDistinct("right").alias("n"), F.sum("n").alias("times")))
         every = x.agg(F.sum("n")).first()[0] or 0
         usual = F.concat("a", F.lit(">"), "b").isin([f"{a}>{b}" for a, b in MISREAD])
