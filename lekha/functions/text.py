@@ -122,6 +122,12 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def token_ids(words: Column, size: int = 50_000) -> Column:
+    """A deterministic id from 2 to ``size`` - 1 for each word, by its hash; 0 and 1 are
+    left for frames. A stand-in for a tokenizer's vocabulary."""
+    return F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("bigint") % (size - 2) + 2).cast("int"))
+
+
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, which is computed once however often it is used: an
     expression inside a lambda would else run again for each element."""

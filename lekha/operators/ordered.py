@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 
 from lekha.session import cut
 
+#: Rows of a range of an order, on average over the whole table.
+RANGE_ROWS = 20_000
+#: Of a table's order, as rows of a range may be spilled while they are sorted.
+ORDER_ROWS = 5_000_000
+
+
+def _ranges(rows: DataFrame, parts: int) -> int:
+    """Ranges of the whole table's order: a task each, and more where that is too many
+    rows for a task."""
+    return parts or max(1, rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ORDER_ROWS))
+
 
 def running_sum(rows: DataFrame, order: list[str], value: str, out: str = "before", parts: int = 0) -> DataFrame:
     """``rows`` with the sum of ``value`` over all earlier rows of the whole table.
@@ -16,7 +27,7 @@ def running_sum(rows: DataFrame, order: list[str], value: str, out: str = "befor
     ranges of the order, the ranges' sums are summed up, and each range is summed
     by itself. ``order`` must tell rows apart; null values count as 0.
     """
-    n = parts or max(1, rows.sparkSession.sparkContext.defaultParallelism)
+    n = _ranges(rows, parts)
     ranges = cut(rows.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()))
     zero = F.coalesce(F.col(value), F.lit(0))
     sums = ranges.groupBy("__part").agg(F.sum(zero).alias("__sum"))
@@ -29,7 +40,7 @@ def running_sum(rows: DataFrame, order: list[str], value: str, out: str = "befor
 def later_min(rows: DataFrame, order: str, value: str, out: str, parts: int = 0) -> DataFrame:
     """``rows`` with the least ``value`` of themselves and all later rows of the whole
     table, by ranges as in ``running_sum``."""
-    n = parts or max(1, rows.sparkSession.sparkContext.defaultParallelism)
+    n = _ranges(rows, parts)
     ranges = cut(rows.repartitionByRange(n, order).withColumn("__part", F.spark_partition_id()))
     least = ranges.groupBy("__part").agg(F.min(value).alias("__least"))
     # One row per range.
@@ -38,10 +49,6 @@ def later_min(rows: DataFrame, order: str, value: str, out: str, parts: int = 0)
     return ranges.withColumn("__inside", inside).join(F.broadcast(after), "__part").withColumn(out, F.least("__inside", "__after")).drop("__part", "__inside", "__after")
 
 
-#: Rows of a range of a group's order, on average over the whole table.
-RANGE_ROWS = 20_000
-
-
 def group_running_sum(rows: DataFrame, group: str, order: list[str], value: str, out: str = "before", ranges: int | None = None) -> DataFrame:
     """``rows`` with the sum of ``value`` over the earlier rows of their group. A
     group of any size is spread over ``ranges`` ranges (else as many as the table has
@@ -71,6 +78,8 @@ def pack_stream(docs: DataFrame, order: list[str], ids: str, length: int, eos: i
     Documents get their place in the stream by a running sum, are cut into the rows
     they reach into, and rows are put together from these pieces.
     """
+    # Ids may be dear to compute: once, and not again where rows are sampled and counted.
+    docs = cut(docs.select(*order, F.col(ids).cast("array<int>").alias(ids)))
     framed = docs.filter(F.size(ids) > 0).select(*order, F.concat(F.when(F.col(ids)[0] == bos, F.array().cast("array<int>")).otherwise(F.array(F.lit(bos)).cast("array<int>")) if bos is not None else F.array().cast("array<int>"), F.col(ids).cast("array<int>"), F.array(F.lit(eos))).alias("__ids"))
     at = running_sum(framed.withColumn("__n", F.size("__ids").cast("bigint")), order, "__n", "__at")
     total = at.agg(F.max(F.col("__at") + F.col("__n"))).first()[0] or 0

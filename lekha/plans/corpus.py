@@ -148,13 +148,17 @@ register("wi05_byte_offsets", lambda s, d: ordered.running_sum(table(s, d, "docu
 register("wi06_stream_budget", lambda s, d: ordered.running_sum(table(s, d, "documents", "doc_id", "text").filter("text IS NOT NULL").select("doc_id", F.size(T.tokens(F.col("text"))).cast("bigint").alias("n")), ["doc_id"], "n", "b").filter("b < 50000").select("doc_id", "n"), f"SELECT doc_id, n FROM (SELECT doc_id, n, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM (SELECT doc_id, {_N} AS n FROM documents WHERE text IS NOT NULL)) WHERE b < 50000")
 
 
+#: SQL of text.token_ids, for a list t of words.
+_IDS = "list_transform(t, lambda x: CAST(CAST('0x' || substr(md5(x), 1, 7) AS BIGINT) % 49998 + 2 AS INT))"
+
+
 def _packed(s, d):
-    docs = table(s, d, "documents", "doc_id", "text").filter("text IS NOT NULL").select("doc_id", F.transform(T.tokens(F.col("text")), lambda x: F.length(x)).alias("ids"))
-    rows = ordered.pack_stream(docs, ["doc_id"], "ids", 512, eos=-2, bos=-1)
+    docs = table(s, d, "documents", "doc_id", "text").filter("text IS NOT NULL").select("doc_id", T.token_ids(T.tokens(F.col("text"))).alias("ids"))
+    rows = ordered.pack_stream(docs, ["doc_id"], "ids", 512, eos=0, bos=1)
     return rows.select(F.col("seq_no").cast("bigint").alias("seq_no"), F.sha2(F.array_join(F.transform("input_ids", lambda x: x.cast("string")), ","), 256).alias("sha"))
 
 
-register("wi07_packed", _packed, f"SELECT seq_no, sha256(string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos)) AS sha FROM (SELECT id, pos, pos // 512 AS seq_no FROM (SELECT id, row_number() OVER (ORDER BY doc_id, k) - 1 AS pos FROM (SELECT doc_id, unnest(f) AS id, generate_subscripts(f, 1) AS k FROM (SELECT doc_id, list_concat(list_concat([-1], list_transform(t, lambda x: CAST(length(x) AS INT))), [-2]) AS f FROM (SELECT doc_id, {_TOKENS} AS t FROM documents WHERE text IS NOT NULL) WHERE len(t) > 0)))) GROUP BY seq_no HAVING count(*) = 512")
+register("wi07_packed", _packed, f"SELECT seq_no, sha256(string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos)) AS sha FROM (SELECT id, pos, pos // 512 AS seq_no FROM (SELECT id, row_number() OVER (ORDER BY doc_id, k) - 1 AS pos FROM (SELECT doc_id, unnest(f) AS id, generate_subscripts(f, 1) AS k FROM (SELECT doc_id, list_concat(list_concat([1], {_IDS}), [0]) AS f FROM (SELECT doc_id, {_TOKENS} AS t FROM documents WHERE text IS NOT NULL) WHERE len(t) > 0)))) GROUP BY seq_no HAVING count(*) = 512")
 register("ag11_share", lambda s, d: table(s, d, "documents", "source", "n_chars").agg(F.round(F.sum(F.when(F.col("source").isin("press_wire", "web_crawl"), F.col("n_chars")).otherwise(0)) / F.sum("n_chars"), 6).alias("share")), "SELECT round(sum(CASE WHEN source IN ('press_wire', 'web_crawl') THEN n_chars ELSE 0 END) / sum(n_chars), 6) AS share FROM documents")
 register("ag13_log_summary", lambda s, d: table(s, d, "file_results", "source", "in_bytes").groupBy("source").agg(F.count(F.lit(1)).alias("items"), F.sum("in_bytes").alias("bytes")), "SELECT source, count(*) AS items, CAST(sum(in_bytes) AS BIGINT) AS bytes FROM file_results GROUP BY source")
 register("ag17_status", lambda s, d: table(s, d, "clean_results", "dropped", "drop_reason", "in_chars").groupBy("dropped", F.regexp_extract(F.coalesce("drop_reason", F.lit("")), "^[a-z]+", 0).alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.sum("in_chars").alias("chars")), "SELECT dropped, regexp_extract(coalesce(drop_reason, ''), '^[a-z]+') AS reason, count(*) AS n, CAST(sum(in_chars) AS BIGINT) AS chars FROM clean_results GROUP BY ALL")

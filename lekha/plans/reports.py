@@ -11,6 +11,7 @@ from lekha.functions import scores as C
 from lekha.functions import shapes as X
 from lekha.functions import text as T
 from lekha.operators import dedup, evaluation, ordered, sampling
+from lekha.plans.corpus import _IDS
 from lekha.plans.extract import _PG, _pages
 from lekha.plans.registry import register
 from lekha.plans.scores import _A, _REC, _DIR, _J, _K, _KEY, _MARK, _NUMS, _YEARS, _adh, _answers, _bands, _count, _f1, _j, _nt, _score, _sent
@@ -33,14 +34,14 @@ register("tx17_sft_estimate", lambda s, d: table(s, d, "ft_corpus", "pair_id", "
 
 
 def _framed(s, d):
-    ids = F.transform(T.tokens(col("text")), lambda x: F.length(x))
+    ids = T.token_ids(T.tokens(col("text")))
     x = table(s, d, "documents", "doc_id", "text").filter("text IS NOT NULL").select("doc_id", ids.alias("ids")).filter(F.size("ids") > 0)
     framed = F.when(col("ids")[0] == 1, col("ids")).otherwise(F.concat(F.array(F.lit(1)), col("ids")))
     return x.select("doc_id", framed.alias("f")).select("doc_id", F.size("f").alias("n"), F.sha2(F.array_join(F.transform("f", lambda x: x.cast("string")), ","), 256).alias("sha"))
 
 
 _FR = "CASE WHEN ids[1] = 1 THEN ids ELSE list_concat([1], ids) END"
-register("tx23_framed_ids", _framed, f"SELECT doc_id, CAST(len(f) AS INT) AS n, sha256(array_to_string(f, ',')) AS sha FROM (SELECT doc_id, {_FR} AS f FROM (SELECT doc_id, list_transform({_TOKENS}, lambda x: CAST(length(x) AS INT)) AS ids FROM documents WHERE text IS NOT NULL) WHERE len(ids) > 0)")
+register("tx23_framed_ids", _framed, f"SELECT doc_id, CAST(len(f) AS INT) AS n, sha256(array_to_string(f, ',')) AS sha FROM (SELECT doc_id, {_FR} AS f FROM (SELECT doc_id, {_IDS} AS ids FROM (SELECT doc_id, {_TOKENS} AS t FROM documents WHERE text IS NOT NULL)) WHERE len(ids) > 0)")
 register("ext05_fallback_chain", lambda s, d: _pages(s, d).select("doc_id", F.length(F.coalesce(F.nullif(F.regexp_extract("html", r"(?is)<section[^>]*>(.*?)</section>", 1), F.lit("")), F.nullif(F.regexp_extract("html", r"(?is)<article[^>]*>(.*)</article>", 1), F.lit("")), F.regexp_extract("html", r"(?is)<body[^>]*>(.*)</body>", 1))).alias("n")), f"SELECT doc_id, CAST(length(coalesce(nullif(regexp_extract(html, '(?is)<section[^>]*>(.*?)</section>', 1), ''), nullif(regexp_extract(html, '(?is)<article[^>]*>(.*)</article>', 1), ''), regexp_extract(html, '(?is)<body[^>]*>(.*)</body>', 1))) AS INT) AS n FROM {_PG}")
 register("ext06_blank_lines", lambda s, d: table(s, d, "documents", "doc_id", "text").filter("text IS NOT NULL").select("doc_id", F.length(T.strip_ends(F.regexp_replace("text", r"\n{3,}", "\n\n"))).alias("n")), f"SELECT doc_id, CAST(length({_STRIP.replace('{0}', 'regexp_replace(text, ' + chr(39) + chr(92) + 'n{3,}' + chr(39) + ', chr(10) || chr(10), ' + chr(39) + 'g' + chr(39) + ')')}) AS INT) AS n FROM documents WHERE text IS NOT NULL")
 register("ag18_chunk_counts", lambda s, d: table(s, d, "documents", "source", "text").filter("text IS NOT NULL").select("source", F.size(T.chunks(T.words(col("text")), 1500, 200)).alias("n")).groupBy("source").agg(F.sum("n").alias("chunks"), (F.sum("n") * 600).alias("tokens")), f"SELECT source, CAST(sum(n) AS BIGINT) AS chunks, CAST(sum(n) * 600 AS BIGINT) AS tokens FROM (SELECT source, len(w) // 1500 + CASE WHEN len(w) % 1500 >= 200 THEN 1 ELSE 0 END AS n FROM (SELECT source, {_WORDS.replace('{0}', 'text')} AS w FROM documents WHERE text IS NOT NULL)) GROUP BY source")

@@ -57,7 +57,7 @@ _CQ = "CASE WHEN TRY_CAST(json_extract_string(p, '$.confidence') AS DOUBLE) IS N
 register("fn17_confidence", _confidence, f"SELECT DISTINCT {_K}, round(c, 6) AS confidence, round((c - r) * (c - r), 6) AS brier FROM (SELECT *, {_CQ} AS c, CAST(upper(substr(trim(answer), 1, 1)) = upper(correct) AS INT) AS r FROM (SELECT *, {_P} AS p FROM {_A} WHERE inference_task = 'A'))")
 register("fn20_format_valid", lambda s, d: _answers(s, d).select(*_KEY, F.when(F.col("inference_task").isin("A", "F"), F.upper(F.substring(F.trim("answer"), 1, 1)).isin(*"ABCD")).when(F.col("inference_task") == "C", F.get_json_object("prediction", "$.score").isNotNull()).when(F.col("inference_task") == "E", F.get_json_object("prediction", "$.prelims_info").isNotNull()).otherwise(F.col("answer") != "").cast("int").alias("valid")).distinct(), f"SELECT DISTINCT {_K}, CAST(CASE WHEN inference_task IN ('A', 'F') THEN upper(substr(trim(answer), 1, 1)) IN ('A', 'B', 'C', 'D') WHEN inference_task = 'C' THEN json_extract_string(prediction, '$.score') IS NOT NULL WHEN inference_task = 'E' THEN json_extract_string(prediction, '$.prelims_info') IS NOT NULL ELSE answer <> '' END AS INT) AS valid FROM {_A}")
 register("fl16_parse_gate", lambda s, d: _answers(s, d).withColumn("ok", C.recovered_json(F.col("raw")).isNotNull().cast("int")).groupBy("inference_task").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ok"), 6).alias("share")), "SELECT inference_task, count(*) AS n, round(avg(CASE WHEN (json_valid(trim(raw)) AND trim(raw) LIKE '{%') OR json_valid(nullif(regexp_extract(raw, '(?s)```(?:json)?[ \\t\\n]*(\\{.*\\})[ \\t\\n]*```', 1), '')) OR json_valid(nullif(regexp_extract(raw, '(?s)(\\{.*\\})', 1), '')) THEN 1 ELSE 0 END), 6) AS share FROM " + _A + " GROUP BY inference_task")
-register("fl19_row_lengths", lambda s, d: table(s, d, "embeddings", "vec_id", "embedding").filter(F.size("embedding") != 64).agg(F.count(F.lit(1)).alias("bad")), "SELECT count(*) AS bad FROM embeddings WHERE len(embedding) <> 64")
+register("fl19_vector_lengths", lambda s, d: table(s, d, "embeddings", "vec_id", "embedding").filter(F.size("embedding") != 64).agg(F.count(F.lit(1)).alias("bad")), "SELECT count(*) AS bad FROM embeddings WHERE len(embedding) <> 64")
 register("fl05_json_shapes", lambda s, d: table(s, d, "eval_set", "task", "gold_payload").groupBy("task", F.when(F.get_json_object("gold_payload", "$.options").isNull(), "none").when(F.get_json_object("gold_payload", "$.options").startswith("["), "list").otherwise("map").alias("shape")).agg(F.count(F.lit(1)).alias("n")), "SELECT task, CASE WHEN json_extract(gold_payload, '$.options') IS NULL OR json_type(gold_payload, '$.options') = 'NULL' THEN 'none' WHEN json_type(gold_payload, '$.options') = 'ARRAY' THEN 'list' ELSE 'map' END AS shape, count(*) AS n FROM eval_set GROUP BY ALL")
 register("fl07_membership", lambda s, d: table(s, d, "eval_set", "question_id", "paper").filter(F.lower("paper").isin("gs1", "csat")).select("question_id"), "SELECT question_id FROM eval_set WHERE lower(paper) IN ('gs1', 'csat')")
 register("fl12_path_filter", lambda s, d: table(s, d, "documents", "doc_id", "dst_path").filter(F.col("dst_path").rlike(r"\.md$") & ~F.col("dst_path").rlike("(?i)draft|/press_wire/")).select("doc_id"), "SELECT doc_id FROM documents WHERE regexp_matches(dst_path, '\\.md$') AND NOT regexp_matches(dst_path, '(?i)draft|/press_wire/')")

@@ -37,11 +37,15 @@ def _json_table(s, d):
 register("snk01_json_table", _json_table, "SELECT run_id, CAST(coalesce(len(id_overlaps), -1) AS INT) AS ids, CAST(coalesce(len(ngram_hits), -1) AS INT) AS hits, 'leakage_reports' AS made_of FROM leakage_reports")
 
 
+def _packed_rows(s, d):
+    docs = table(s, d, "documents", "doc_id", "text").filter("text IS NOT NULL").select("doc_id", T.token_ids(T.tokens(col("text"))).alias("ids"))
+    return ordered.pack_stream(docs, ["doc_id"], "ids", 512, eos=0)
+
+
 def _packed_shards(s, d):
     """Packed rows in files of a bounded number of rows each."""
     at = _folder(s)
-    docs = table(s, d, "documents", "doc_id", "text").filter("text IS NOT NULL").select("doc_id", F.transform(T.tokens(col("text")), lambda x: F.length(x)).alias("ids"))
-    sinks.row_batches(ordered.pack_stream(docs, ["doc_id"], "ids", 512, eos=-2), at, rows=100)
+    sinks.row_batches(_packed_rows(s, d), at, rows=100)
     per = s.read.parquet(at).groupBy(F.input_file_name().alias("f")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("input_ids")).alias("ids"))
     return per.agg(F.sum("n").alias("n_rows"), F.sum("ids").alias("n_ids"), (F.max("n") <= 100).alias("bounded"))
 
@@ -50,6 +54,10 @@ _TOK = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 register("snk04_row_batches", _packed_shards, f"SELECT n // 512 AS n_rows, n // 512 * 512 AS n_ids, true AS bounded FROM (SELECT CAST(sum(len({_TOK}) + 1) AS BIGINT) AS n FROM documents WHERE text IS NOT NULL AND len({_TOK}) > 0)")
 
 
+# Every packed row is as long as it must be, not only the first.
+register("fl19_row_lengths", lambda s, d: _packed_rows(s, d).agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.size("input_ids") != 512, 1)).alias("bad")), f"SELECT n // 512 AS n_rows, CAST(0 AS BIGINT) AS bad FROM (SELECT CAST(sum(len({_TOK}) + 1) AS BIGINT) AS n FROM documents WHERE text IS NOT NULL AND len({_TOK}) > 0)")
+
+
 def _conversations(s, d):
     at = _folder(s)
     x = table(s, d, "ft_corpus", "pair_id", "instruction", "output").distinct()
