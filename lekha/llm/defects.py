@@ -3,7 +3,7 @@
 An answer is read out of its JSON, fence or plain text and then judged in Arrow
 batches: copies by compressing it with its prompt as a zstandard dictionary,
 refusals and other languages by dictionaries, broken ends by a model of terminal
-contexts that is fitted to a bounded sample of the answers themselves.
+contexts that is fitted to all answers and all places where they can be cut.
 """
 
 from __future__ import annotations
@@ -12,15 +12,14 @@ import json
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lekha.session import hash_sample
-
 DEFECTS = ("empty", "truncated", "refusal", "copy", "language")
 
 #: Texts that stand for no answer.
@@ -276,35 +275,111 @@ def context(answer: Answer) -> tuple:
     return (answer.state, kind, "item" if "\n" in text and _ITEM.match(line) and len(words) <= 12 else "short" if len(text.split()) <= 3 else "line", "joint" if kind == "word" and last in _LATIN else "plain")
 
 
+_SPACED = re.compile(r"(\S+)(\s*)")
+_ITEM_MARK = re.compile(r"[-*•]|\(?\d{1,2}[.)]|\(?[a-z][.)]")
+_LONGEST = max(map(len, _LATIN))
+
+
+#: Places by kind are counted in one number: so many bits for each of s(top), m(ark),
+#: w(ord) and j(oint).
+_ONE = {c: 1 << 40 * k for k, c in enumerate("smwj")}
+
+
+@lru_cache(maxsize=100_000)
+def _kinds(word: str, stopped: bool) -> tuple[str, int]:
+    """How a text ends after each letter of a word, as in ``context``, and how often
+    each way with one space after the word. ``stopped``: what is before it is a stop."""
+    kinds, last = [], "s" if stopped else "w"
+    lead = len(word) - len(word.lstrip(".,;:"))
+    for k, c in enumerate(word, 1):
+        if c in ".!?।॥…" or last == "s" and c in "\"'”’»)]}*_`":
+            last = "s"
+        elif c.isalnum() or "ऀ" <= c <= "ॿ":
+            last = "j" if k - lead <= _LONGEST and word[lead:k].lower() in _LATIN else "w"
+        else:
+            last = "m"
+        kinds.append(last)
+    return "".join(kinds), sum(map(_ONE.__getitem__, kinds)) + _ONE[last]
+
+
+def cut_contexts(text: str, first: int = 20) -> Counter:
+    """How often each context, but for the state of the JSON, comes up when a text with
+    no space at its ends is cut at each place from ``first`` to before its last letter.
+    One pass over its words, whatever its length."""
+    found = {"item": 0, "short": 0, "line": 0}
+    at = in_line = 0
+    marked = stopped = later = False
+    for n, (word, space) in enumerate(_SPACED.findall(text), 1):
+        in_line += 1
+        if in_line == 1:
+            marked = later and _ITEM_MARK.fullmatch(word) is not None
+        line = "item" if marked and 2 <= in_line <= 12 else "short" if n <= 3 else "line"
+        # Words may be as long as texts; only short ones are remembered.
+        kinds, spaced = (_kinds if len(word) <= 40 else _kinds.__wrapped__)(word, stopped)
+        last = kinds[-1]
+        stopped = last == "s"
+        if space == " " and at + 1 >= first:
+            found[line] += spaced
+            at += len(word) + 1
+            continue
+        end = at + len(word)
+        for c, one in _ONE.items():
+            found[line] += one * kinds.count(c, max(0, first - at - 1), len(text) - 1 - at)
+        rows = space.split("\n", 1)
+        # Spaces leave the line as it is; after a line break it is empty.
+        found[line] += _ONE[last] * max(0, min(len(rows[0]), end + len(rows[0]) - first + 1))
+        at = end + len(space)
+        if len(rows) > 1:
+            found["short" if n <= 3 else "line"] += _ONE["w" if last == "j" else last] * max(0, min(len(rows[1]) + 1, at - first + 1))
+            in_line, marked, later = 0, False, True
+    names = {"s": ("stop", "plain"), "m": ("mark", "plain"), "w": ("word", "plain"), "j": ("word", "joint")}
+    n = {(names[c][0], line, names[c][1]): v // one & (1 << 40) - 1 for line, v in found.items() if v for c, one in _ONE.items()}
+    return Counter({c: v for c, v in n.items() if v})
+
+
 class TerminalContexts:
     """Log-odds that an answer breaks off, from counts of terminal contexts at the
-    ends of answers and at places where answers were cut on purpose."""
+    ends of answers and at all places where answers could be cut."""
+
+    #: Parts of one answer's cuts; whole numbers add up alike in any order.
+    PARTS = 1 << 20
 
     def __init__(self, ends: Counter, cuts: Counter, prior: float = 0.05) -> None:
         self.ends, self.cuts, self.prior = ends, cuts, prior
 
     @classmethod
-    def fit(cls, texts: list[str | None]) -> TerminalContexts:
-        ends, cuts = Counter(), Counter()
-        for k, raw in enumerate(texts):
+    def fit(cls, texts: Iterable[str | None]) -> TerminalContexts:
+        return cls.of(*cls.counts(texts))
+
+    @classmethod
+    def of(cls, ends: Counter, parts: Counter) -> TerminalContexts:
+        return cls(ends, Counter({c: v / cls.PARTS for c, v in parts.items()}))
+
+    @classmethod
+    def counts(cls, texts: Iterable[str | None]) -> tuple[Counter, Counter]:
+        """Counts at the ends of answers, and at all places where their last texts can
+        be cut, in parts: each answer has PARTS, however long it is. Half of the cuts of
+        closed JSON leave it open."""
+        ends, parts = Counter(), Counter()
+        for raw in texts:
             a = Answer(raw)
             if not a.texts:
                 continue
             ends[context(a)] += 1
             last = a.texts[-1]
             if len(last) > 40:
-                # Cut places spread over the text by a fixed rule.
-                at = 20 + (k * 7919 + len(last) * 104729) % (len(last) - 20)
-                cut = Answer(None)
-                cut.texts, cut.state = [last[:at]], "open" if a.state == "closed" and k % 2 else a.state
-                cuts[context(cut)] += 1
-        return cls(ends, cuts)
+                states = ("open", "closed") if a.state == "closed" else (a.state,)
+                for c, n in cut_contexts(last).items():
+                    for state in states:
+                        parts[(state, *c)] += n * cls.PARTS // ((len(last) - 20) * len(states))
+        return ends, parts
 
     def score(self, c: tuple) -> float:
         n, m = sum(self.ends.values()) + 1, sum(self.cuts.values()) + 1
         cut = (self.cuts[c] + 0.5) / m
-        # A share ``prior`` of the ends is itself broken off and looks like the cuts.
-        whole = max(1e-4, (self.ends[c] + 0.5) / n - self.prior * cut)
+        # A share ``prior`` of the ends is itself broken off and looks like the cuts. No
+        # share is under half an answer's, so a floor doesn't outgrow what is counted.
+        whole = max(min(1e-4, 0.5 / n), (self.ends[c] + 0.5) / n - self.prior * cut)
         return math.log(cut / whole)
 
     def broken(self, answer: Answer) -> bool:
@@ -333,11 +408,21 @@ def defect(raw: str | None, prompt: str | None, language: str | None, task: str
     return "truncated" if ends.broken(a) else None
 
 
-def fit_ends(answers: DataFrame, sample: int = 20_000) -> TerminalContexts:
-    """The model of terminal contexts, from about ``sample`` answers (column answer)
-    chosen by hash. That bound is for the fit only; all rows are judged."""
-    rows = hash_sample(answers.select("answer").filter("answer IS NOT NULL"), ["answer"], sample).collect()
-    return TerminalContexts.fit(sorted(r.answer for r in rows))
+def fit_ends(answers: DataFrame) -> TerminalContexts:
+    """The model of terminal contexts, from every row of ``answers`` that has an answer
+    (column answer) and every place of each. Contexts are counted where rows are read;
+    there are 36 at most, so only counts leave the tasks."""
+    src = answers.filter("answer IS NOT NULL").select(F.col("answer").cast("string"))
+    fields = pa.schema([(c, pa.string()) for c in ("state", "kind", "line", "joint")] + [("ends", pa.int64()), ("cuts", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends, cuts = TerminalContexts.counts(t for b in batches for t in b.column(0).to_pylist())
+        found = [(*c, ends[c], cuts[c]) for c in ends | cuts]
+        yield pa.RecordBatch.from_pylist([dict(zip(fields.names, row, strict=True)) for row in found], schema=fields)
+
+    counted = src.mapInArrow(run, "state string, kind string, line string, joint string, ends long, cuts long")
+    rows = counted.groupBy("state", "kind", "line", "joint").agg(F.sum("ends").alias("ends"), F.sum("cuts").alias("cuts")).collect()
+    return TerminalContexts.of(*(Counter({tuple(r[:4]): r[c] for r in rows if r[c]}) for c in ("ends", "cuts")))
 
 
 def defects(pairs: DataFrame, keys: list[str], ends: TerminalContexts) -> DataFrame:
